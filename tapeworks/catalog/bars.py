@@ -68,7 +68,7 @@ def _(spark, sf):
     return bars.gap_poisoned_bars(src.tape(spark, sf), THRESHOLD, max_gap_us=9_000_000_000)
 
 
-CONTROL_SQL = "controls AS (SELECT epoch_us(ts) AS ts_us FROM events WHERE value >= 700)"
+CONTROL_SQL = "controls AS (SELECT epoch_us(ts) AS ts_us FROM events WHERE value >= 250)"
 
 
 @query("resync", f"""WITH RECURSIVE {src.TAPE_SQL}, {CONTROL_SQL},
@@ -86,7 +86,7 @@ b AS (SELECT t.symbol, run, min(t.ts_us) AS start_us, max(t.ts_us) AS end_us, CA
 SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY start_us) - 1 AS bar_idx, start_us, end_us, notional, tick_count FROM b""")
 def _(spark, sf):
     t = src.tape(spark, sf)
-    controls = src.table(spark, sf, "events").where("value >= 700").select(src.micros("ts").alias("ts_us"))
+    controls = src.table(spark, sf, "events").where("value >= 250").select(src.micros("ts").alias("ts_us"))
     return bars.resync_bars(t, controls, THRESHOLD).select("symbol", "bar_idx", "start_us", "end_us", "notional", "tick_count")
 
 

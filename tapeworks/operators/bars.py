@@ -101,16 +101,15 @@ def gap_poisoned_bars(tape: DataFrame, threshold: int, *, max_gap_us: int = 1_50
 def resync_bars(tape: DataFrame, controls: DataFrame, threshold: int, *, n: int | None = None) -> DataFrame:
     """Reset bars where every control event (``ts_us``) drops the bars still open.
 
-    Feed-wide controls are counted per tick by placing them in each symbol's
-    sequence; a bar never spans two epochs.  Bars are renumbered per symbol.
+    Controls concern the whole feed, so epochs are numbered along the feed's own
+    time order; a bar never spans two epochs.  Bars are renumbered per symbol.
     """
-    cols = ("trade_id", "ts_us", "price", "size", "side", "notional")
-    marks = tape.select("symbol").distinct().join(controls.select("ts_us"))
-    both = tape.select("symbol", *cols).unionByName(marks, allowMissingColumns=True) \
-        .withColumn("trade_id", F.coalesce("trade_id", F.lit(-1).cast("long")))
-    numbered = running(both, ["symbol"], ["ts_us", "trade_id"],
-                       {"epoch": ("sum", F.when(F.col("price").isNull(), 1).otherwise(0).cast("long"))}, n=n)
-    bars = dollar_bars(numbered.where("price IS NOT NULL"), threshold, keys=("symbol", "epoch"), n=n)
+    cols = ("symbol", "trade_id", "ts_us", "price", "size", "side", "notional")
+    both = tape.select(*cols).unionByName(controls.select("ts_us"), allowMissingColumns=True) \
+        .withColumn("order_id", F.coalesce("trade_id", F.lit(1 << 62)))
+    numbered = running(both, [], ["ts_us", "order_id"],
+                       {"epoch": ("sum", F.when(F.col("trade_id").isNull(), 1).otherwise(0).cast("long"))}, n=n)
+    bars = dollar_bars(numbered.where("trade_id IS NOT NULL"), threshold, keys=("symbol", "epoch"), n=n)
     return dense_index(bars.drop("bar_idx"), ["symbol"], ["start_us", "end_us"], "bar_idx")
 
 

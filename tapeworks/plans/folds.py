@@ -111,12 +111,13 @@ def _emit(step: Step, initial: object, keys: list[str], entry: dict[int, tuple],
     return run
 
 
-def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, initial: object, out_schema: str,
-         *, n: int | None = None) -> DataFrame:
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, initial: object, out_schema: str | T.StructType,
+         *, n: int | None = None, freeze: bool = False) -> DataFrame:
     """Run ``step`` over every key of ``df`` in ``order``; keys are prepended to ``out_schema``."""
     keys = list(keys)
-    sliced = df if SLICE in df.columns else slice_rows(df, keys, order, n)
-    schema = T.StructType([sliced.schema[k] for k in keys] + T._parse_datatype_string(out_schema).fields)
+    sliced = df if SLICE in df.columns else slice_rows(df, keys, order, n, freeze)
+    columns = T._parse_datatype_string(out_schema) if isinstance(out_schema, str) else out_schema
+    schema = T.StructType([sliced.schema[k] for k in keys] + [f for f in columns.fields if f.name not in keys])
 
     def survey(frame: DataFrame, entry: dict[int, object]) -> list:
         return frame.mapInPandas(_summarise(step, initial, keys, entry), _SUMMARY).collect()

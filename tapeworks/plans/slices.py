@@ -48,14 +48,20 @@ def slice_count(df: DataFrame) -> int:
     return min(MAX_SLICES, max(configured, -(-_leaf_bytes(df) // TARGET_SLICE_BYTES)))
 
 
-def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None) -> DataFrame:
+def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None,
+               freeze: bool = False) -> DataFrame:
     """Cut ``df`` into ordered slices of similar size; adds the slice number.
 
+    Sampling the range bounds runs the input once more.  ``freeze`` stores it
+    first, which pays off when it is small and dear (filtered candidates).
+
     ``order`` must end in a unique column so that ties never force a slice to
     grow and every re-computation sees the same sequence.
     """
     ensure_checkpoint_dir(df.sparkSession)
     cols = [F.col(c) for c in (*keys, *order)]
+    if freeze:
+        df = df.checkpoint(eager=True)
     return (df.repartitionByRange(n or slice_count(df), *cols)
             .sortWithinPartitions(*cols)
             .withColumn(SLICE, F.spark_partition_id())
