@@ -82,7 +82,7 @@ def _(spark, sf):
 
 
 @query("training_export", f"""WITH {LABEL_SQL} SELECT intent_id, CAST(floor(CAST(embedding[1] AS DOUBLE) * 1e6) AS BIGINT) AS x0,
-  CAST(list_sum(list_transform(embedding, lambda v: floor(CAST(v AS DOUBLE) * 1e6))) AS BIGINT) AS x_sum, label AS y FROM embeddings JOIN labels_ ON intent_id = vec_id""")
+  CAST(list_sum(list_transform(embedding, lambda v: floor(CAST(v AS DOUBLE) * 1e6))) AS BIGINT) AS x_sum, l.label AS y FROM embeddings JOIN labels_ l ON intent_id = vec_id""")
 def _(spark, sf):
     out = labels.training_export(*feature_rows(spark, sf))
     return out.select("intent_id", F.col("x")[0].alias("x0"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("x_sum"), "y")
