@@ -1 +1,109 @@
+"""The operator's clicks, permits, attention and chat."""
 
+from pyspark.sql import functions as F
+
+from tapeworks.catalog import query
+from tapeworks.operators import operators as ops
+from tapeworks.sources import tape as src
+
+H = 3_600_000_000
+TTL = 4 * H
+CLICK_SQL = f"""{src.TICKS_SQL}, e AS (SELECT symbol AS desk, ts_us, trade_id AS event_id, CASE trade_id % 7 WHEN 0 THEN 'emit' WHEN 3 THEN 'revoke' ELSE 'click' END AS kind,
+  CASE WHEN trade_id % 7 = 0 THEN trade_id END AS own, trade_id, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, trade_id) AS rn FROM ticks),
+c AS (SELECT desk, ts_us, event_id, kind, rn, CASE kind WHEN 'emit' THEN trade_id WHEN 'click' THEN coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY desk ORDER BY rn), 0) - CASE WHEN trade_id % 5 = 0 THEN 7 ELSE 0 END END AS intent_id FROM e)"""
+
+
+def desk_events(spark, sf):
+    from tapeworks.plans.slices import running
+    t = src.ticks(spark, sf)
+    k = F.col("trade_id")
+    e = t.select(F.col("symbol").alias("desk"), "ts_us", k.alias("event_id"), F.when(k % 7 == 0, "emit").when(k % 7 == 3, "revoke").otherwise("click").alias("kind"),
+                 F.when(k % 7 == 0, k).alias("own"))
+    last = running(e, ["desk"], ["ts_us", "event_id"], {"shown": ("last", F.col("own"))}).drop("_slice")
+    ref = F.when(F.col("kind") == "emit", F.col("event_id")).when(F.col("kind") == "click", F.coalesce("shown", F.lit(0)) - F.when(F.col("event_id") % 5 == 0, 7).otherwise(0))
+    return last.select("desk", "ts_us", "event_id", "kind", F.coalesce(ref, F.lit(-1)).cast("long").alias("intent_id"))
+
+
+@query("click_audit", f"""WITH RECURSIVE {CLICK_SQL},
+w AS (SELECT desk, rn, ts_us, event_id, kind, intent_id, CASE WHEN kind = 'emit' THEN intent_id END AS cur, CASE WHEN kind = 'emit' THEN ts_us END AS since, false AS revoked,
+    CASE WHEN kind = 'emit' THEN 1 ELSE 0 END AS version, CASE WHEN kind = 'click' THEN 'NO_ACTIVE' END AS verdict FROM c WHERE rn = 1
+  UNION ALL SELECT desk, rn, ts_us, event_id, kind, intent_id, CASE WHEN kind = 'emit' THEN intent_id ELSE cur END, CASE WHEN kind = 'emit' THEN ts_us ELSE since END,
+    CASE WHEN kind = 'emit' THEN false WHEN kind = 'revoke' THEN cur IS NOT NULL ELSE revoked OR coalesce(v = 'TTL_EXPIRED', false) END,
+    version + CASE WHEN kind = 'emit' OR (kind = 'revoke' AND cur IS NOT NULL AND NOT revoked) OR coalesce(v = 'TTL_EXPIRED', false) THEN 1 ELSE 0 END, v
+  FROM (SELECT t.desk, t.rn, t.ts_us, t.event_id, t.kind, t.intent_id, w.cur, w.since, w.revoked, w.version,
+    CASE WHEN t.kind <> 'click' THEN NULL WHEN w.cur IS NULL THEN 'NO_ACTIVE' WHEN t.intent_id <> w.cur THEN 'STALE' WHEN w.revoked THEN 'REVOKED' WHEN t.ts_us - w.since > {TTL} THEN 'TTL_EXPIRED' ELSE 'OK' END AS v
+    FROM w JOIN c t ON t.desk = w.desk AND t.rn = w.rn + 1))
+SELECT desk, ts_us, event_id, intent_id, verdict, CAST(version AS BIGINT) AS version FROM w WHERE kind = 'click'""")
+def _(spark, sf):
+    return ops.click_audit(desk_events(spark, sf), ttl_us=TTL)
+
+
+@query("capsule_audit", f"""WITH {src.TICKS_SQL}, s AS (SELECT trade_id AS submission_id, trade_id // 3 * 3 AS nonce, ts_us, trade_id % 4 AS cur, trade_id % 19 = 0 AS locked FROM ticks),
+i AS (SELECT trade_id AS nonce, ts_us + (trade_id % 8 - 2) * 60000000 AS issued, trade_id % 4 AS gen FROM ticks WHERE trade_id % 3 = 0 AND trade_id % 10 <> 0),
+j AS (SELECT s.*, CASE WHEN issued IS NULL THEN 'UNKNOWN_NONCE' WHEN ts_us - issued > 600000000 THEN 'TTL_EXPIRED' WHEN ts_us - issued < -100000000 THEN 'CLOCK_MANIPULATION' WHEN gen <> cur AND submission_id % 2 = 0 THEN 'TILT_GEN_MISMATCH'
+  WHEN locked THEN 'TILT_LOCKED' ELSE 'OK' END AS r FROM s LEFT JOIN i USING (nonce)),
+f AS (SELECT nonce, min(ts_us) AS first_us FROM j WHERE r = 'OK' GROUP BY nonce)
+SELECT submission_id, CASE WHEN ts_us > first_us THEN 'NONCE_REPLAY' ELSE r END AS verdict FROM j LEFT JOIN f USING (nonce)""")
+def _(spark, sf):
+    return capsules(spark, sf).select("submission_id", "verdict")
+
+
+def capsules(spark, sf):
+    t, k = src.ticks(spark, sf), F.col("trade_id")
+    iss = t.where((k % 3 == 0) & (k % 10 != 0)).select(k.alias("nonce"), (F.col("ts_us") + (k % 8 - 2) * 60_000_000).alias("issued_us"), (k % 4).alias("tilt_generation"))
+    nonce = F.floor(k / 3) * 3
+    gen = F.when(k % 2 == 0, k % 4).otherwise(nonce % 4)
+    sub = t.select(k.alias("submission_id"), nonce.alias("nonce"), "ts_us", gen.alias("current_generation"), (k % 19 == 0).alias("locked"))
+    return ops.capsule_audit(sub, iss, ttl_us=600_000_000, skew_us=100_000_000)
+
+
+BEATS_COLS = ("operator_id", "ts_us", "beat_id", "reaction_ms", "click_count", "error_delta", "success_delta")
+
+
+def beats(spark, sf):
+    """Heartbeats per user; hours become seconds so that the time constants matter."""
+    e = src.table(spark, sf, "events")
+    k = F.col("event_id")
+    return e.select(F.col("user_id").alias("operator_id"), F.floor(src.micros("ts") / 3600).alias("ts_us"), k.alias("beat_id"), (F.col("value") * 20).alias("reaction_ms"),
+                    F.when(F.col("event_type") == "click", k % 9).otherwise(0).cast("int").alias("click_count"),
+                    F.when(F.col("event_type") == "error", 2).otherwise(0).alias("error_delta"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("success_delta"))
+
+
+@query("heartbeat_score")
+def _(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return ops.heartbeat_score(beats(spark, sf))
+
+
+def silence_sql(key: str, limit: int, ts: str = "ts_us") -> str:
+    sel = f"{key} AS k, " if key else ""
+    part = f"PARTITION BY {key} " if key else ""
+    return f"""(SELECT *, lead({ts}) OVER ({part}ORDER BY {ts}, event_id) AS cleared_us FROM b)
+WHERE cleared_us IS NULL OR cleared_us - {ts} > {limit}"""
+
+
+@query("heartbeat_blind", f"""WITH b AS (SELECT user_id AS operator_id, epoch_us(ts) // 3600 AS ts_us, event_id FROM events)
+SELECT operator_id, ts_us AS last_us, ts_us + 50000000 AS noticed_us, cleared_us FROM {silence_sql('operator_id', 50_000_000)}""")
+def _(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return ops.heartbeat_blind(beats(spark, sf), 50_000_000)
+
+
+@query("stream_silence_gaps", f"""WITH b AS (SELECT epoch_us(ts) AS ts_us, event_id FROM events)
+SELECT ts_us AS last_us, ts_us + 900000000 AS noticed_us, cleared_us FROM {silence_sql('', 900_000_000)}""")
+def _(spark, sf):
+    return ops.silences(src.ticks(spark, sf).withColumnRenamed("trade_id", "event_id"), [], 900_000_000)
+
+
+@query("stream_flatline_gaps", f"""WITH {src.TICKS_SQL}, b AS (SELECT symbol, ts_us, trade_id AS event_id FROM ticks WHERE symbol <> 'S7')
+SELECT symbol, ts_us AS last_us, ts_us + {2 * H} AS noticed_us, cleared_us FROM {silence_sql('symbol', 2 * H)}""")
+def _(spark, sf):
+    active = src.ticks(spark, sf).where("symbol <> 'S7'").withColumnRenamed("trade_id", "event_id")
+    return ops.silences(active, ["symbol"], 2 * H)
+
+
+@query("chat_history", """SELECT conv_id AS session_id, turn AS msg_id, role, text AS content, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5""")
+def _(spark, sf):
+    m = src.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("msg_id"), "role", F.col("text").alias("content"))
+    return ops.chat_history(m, 5)

@@ -132,8 +132,8 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Map
              *, reverse: bool = False) -> DataFrame:
     """Values of the row before (after, with ``reverse``); nulls are values here."""
     fields = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in cols.items()]
-    out = running(df, keys, order, {"_prev": ("last", F.struct(*fields), "exclusive")}, reverse=reverse)
-    return out.withColumns({name: F.col(f"_prev.{name}") for name in cols}).drop("_prev")
+    out = running(df, keys, order, {"_row_before": ("last", F.struct(*fields), "exclusive")}, reverse=reverse)
+    return out.withColumns({name: F.col(f"_row_before.{name}") for name in cols}).drop("_row_before")
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx") -> DataFrame:
