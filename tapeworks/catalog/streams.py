@@ -1 +1,88 @@
+"""Streams over the event table, drained with the available-now trigger."""
 
+from pyspark.sql import functions as F
+
+from tapeworks.catalog import query
+from tapeworks.catalog.alerts import ALERT_SQL, COOL
+from tapeworks.catalog.bars import MINUTE, THRESHOLD
+from tapeworks.catalog.detectors import BANK_SQL, LARGE, OFI, SWEEP, greedy_sql
+from tapeworks.catalog.operators import silence_sql
+from tapeworks.catalog.vpin import N, Z, ZT
+from tapeworks.sources import tape as src
+from tapeworks.streaming import queries as st
+from tapeworks.streaming.steps import RadarParams
+
+H = 3_600_000_000
+LIMIT = 12 * H
+PARAMS = RadarParams(threshold=THRESHOLD, window=N, z_threshold=ZT, z_history=Z, cooldown_us=COOL, sweep=SWEEP, large=LARGE, ofi=OFI,
+                     liquidity_cooldown_us=LIMIT)
+
+
+def live_ticks(spark, sf):
+    """The event table as a stream, shaped by the same expressions as the batch tape."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = src.table(spark, sf, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return src.shape_ticks(raw)
+
+
+RADAR_SQL = (BANK_SQL.rstrip() + ALERT_SQL[ALERT_SQL.index(",\nwalk AS ("):].replace("walk", "barwalk") + f""",
+{greedy_sql('thin', 'bank', LIMIT, key='kind, symbol')}
+SELECT 'VPIN' AS kind, symbol, end_us AS ts_us, bar_idx AS ref_id, direction, close AS price, round(vpin, 6) AS vpin, round(z_score, 5) AS z_score, absorption FROM radar
+UNION ALL SELECT kind, symbol, ts_us, trade_id, direction, price, 0, CASE WHEN kind = 'OFI_PULSE' THEN round(ratio_to_median, 5) ELSE 0 END, false FROM thin""")
+
+
+@query("stream_radar", RADAR_SQL)
+def _(spark, sf):
+    t = live_ticks(spark, sf).where("notional > 0").join(src.turnover(spark, sf), "symbol", "left")
+    out = st.drain(st.stream_radar(t, PARAMS), name="radar")
+    z = F.when(F.col("kind") == "VPIN", F.round("z_score", 5)).otherwise(F.round(F.round("z_score", 6), 5))
+    return out.select("kind", "symbol", "ts_us", "ref_id", "direction", "price", F.round("vpin", 6).alias("vpin"), z.alias("z_score"), "absorption")
+
+
+@query("stream_conflate", f"""WITH {src.TICKS_SQL},
+w AS (SELECT symbol, ts_us - ts_us % {60 * MINUTE} AS window_us, arg_max(price, ts_us) AS price, max(ts_us) AS ts_us,
+             sum(CASE WHEN lower(side) = 'buy' THEN size ELSE 0 END) AS buy, sum(CASE WHEN lower(side) = 'buy' THEN 0 ELSE size END) AS sell
+      FROM ticks GROUP BY symbol, ts_us - ts_us % {60 * MINUTE}),
+done AS (SELECT * FROM w WHERE window_us + {60 * MINUTE} <= (SELECT max(ts_us) FROM ticks))
+SELECT symbol, window_us, price, ts_us, 'Buy' AS side, CAST(buy AS BIGINT) AS volume FROM done WHERE buy > 0
+UNION ALL SELECT symbol, window_us, price, ts_us, 'Sell', CAST(sell AS BIGINT) FROM done WHERE sell > 0""")
+def _(spark, sf):
+    return st.drain(st.stream_conflate(live_ticks(spark, sf), "1 hour"), name="conflate")
+
+
+@query("stream_ofi_buckets", f"""WITH {src.TAPE_SQL} SELECT symbol, ts_us - ts_us % {2 * H} AS bucket_us, CAST(sum(CASE WHEN side = 'Sell' THEN -notional ELSE notional END) AS BIGINT) AS ofi, count(*) AS ticks
+FROM tape GROUP BY 1, 2 HAVING ts_us - ts_us % {2 * H} + {2 * H} <= (SELECT max(ts_us) FROM tape)""".replace("GROUP BY 1, 2 HAVING ts_us - ts_us %", "GROUP BY symbol, ts_us - ts_us %").replace(f"{2 * H} + {2 * H} <= (SELECT", f"{2 * H} HAVING ts_us - ts_us % {2 * H} + {2 * H} <= (SELECT"))
+def _(spark, sf):
+    return st.drain(st.stream_ofi_buckets(live_ticks(spark, sf).where("notional > 0"), "2 hours"), name="ofi")
+
+
+def episodes(limit: int, key: str) -> str:
+    """Blindness and recovery events with the data ending in silence left out."""
+    inner = silence_sql(key, limit)
+    col = key or "'feed'"
+    return f"""s AS (SELECT * FROM {inner}) SELECT {col} AS key, 'PARTIAL_BLINDNESS' AS event, ts_us + {limit} AS ts_us FROM s WHERE cleared_us IS NOT NULL
+UNION ALL SELECT {col}, 'PARTIAL_BLINDNESS_CLEARED', cleared_us FROM s WHERE cleared_us IS NOT NULL"""
+
+
+@query("stream_silence", f"WITH b AS (SELECT epoch_us(ts) AS ts_us, event_id FROM events WHERE epoch_us(ts) // 1000000 < (SELECT max(epoch_us(ts)) // 1000000 - 1 FROM events)), {episodes(900_000_000, '')}")
+def _(spark, sf):
+    return st.drain(st.stream_silence(live_ticks(spark, sf), 900_000_000), name="silence")
+
+
+@query("stream_flatline", f"""WITH {src.TICKS_SQL}, b AS (SELECT symbol, ts_us, trade_id AS event_id FROM ticks WHERE symbol <> 'S7' AND ts_us // 1000000 < (SELECT max(ts_us) // 1000000 - 1 FROM ticks WHERE symbol <> 'S7')),
+{episodes(2 * H, 'symbol')} UNION ALL SELECT symbol, 'PARTIAL_BLINDNESS', ts_us + {2 * H} FROM s WHERE cleared_us IS NULL AND ts_us + {2 * H} < (SELECT max(ts_us) - 2000000 FROM ticks WHERE symbol <> 'S7')""")
+def _(spark, sf):
+    active = live_ticks(spark, sf).where("symbol <> 'S7'")
+    return st.drain(st.stream_silence(active, 2 * H, key="symbol"), name="flatline")
+
+
+HALF = 1_705_276_800_000_000
+
+
+@query("state_seed", f"SELECT kind, symbol, ts_us, ref_id, direction, price FROM ({RADAR_SQL}) WHERE ts_us >= {HALF}")
+def _(spark, sf):
+    t = live_ticks(spark, sf).where("notional > 0").join(src.turnover(spark, sf), "symbol", "left").where(F.col("ts_us") >= HALF)
+    past = src.tape(spark, sf).where(F.col("ts_us") < HALF).join(src.turnover(spark, sf), "symbol", "left")
+    out = st.drain(st.stream_radar(t, PARAMS, past.select(*t.columns)), name="seeded")
+    return out.select("kind", "symbol", "ts_us", "ref_id", "direction", "price")

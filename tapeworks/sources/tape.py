@@ -22,12 +22,11 @@ def micros(c):
     return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ticks, including those with size 0."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def shape_ticks(events: DataFrame) -> DataFrame:
+    """Event rows as ticks; works on tables and streams."""
     price = F.round(F.col("value") * 100).cast("long")
     size = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("S"), (F.col("user_id") % MARKETS).cast("string")).alias("symbol"),
         F.col("event_id").cast("long").alias("trade_id"), micros("ts").alias("ts_us"),
         price.alias("price"), size.alias("size"),
@@ -35,6 +34,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (price * size).alias("notional"))
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ticks, including those with size 0."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return shape_ticks(table(spark, sf_dir, "events"))
+
+
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks that traded something."""
     return ticks(spark, sf_dir).where("notional > 0")
