@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tapeworks import catalog
@@ -27,6 +28,7 @@ def main() -> None:
         start = time.time()
         catalog.QUERIES[q](spark, sf).write.format("noop").mode("overwrite").save()
         seconds[q] = round(time.time() - start, 3)
+        print(f"{q} {seconds[q]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
                       "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}))
 

@@ -29,23 +29,26 @@ from tapeworks.session import ensure_checkpoint_dir
 SLICE = "_slice"
 TARGET_SLICE_BYTES = 256 << 20
 MAX_SLICES = 200_000
+FROZEN_SLICE_ROWS = 500_000
 
 
-def _leaf_bytes(df: DataFrame) -> int:
-    """Bytes at the leaves of the plan, as Spark's own statistics report them."""
-    total = 0
+def slice_count(df: DataFrame) -> int:
+    """Shuffle partitions of the session, more when the input is large.
+
+    Only files have a measured size; the statistics of derived tables are
+    products of guesses.  A checkpointed input counts by its partitions.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    file_bytes = 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     for i in range(leaves.size()):
-        size = int(str(leaves.apply(i).stats().sizeInBytes()))
-        if size < 1 << 60:  # larger values mean "unknown"
-            total += size
-    return total
-
-
-def slice_count(df: DataFrame) -> int:
-    """Shuffle partitions of the session, more when the input is large."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_SLICES, max(configured, -(-_leaf_bytes(df) // TARGET_SLICE_BYTES)))
+        leaf = leaves.apply(i)
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation":
+            file_bytes += int(str(leaf.stats().sizeInBytes()))
+        elif kind == "LogicalRDD":
+            n = max(n, leaf.rdd().getNumPartitions())
+    return min(MAX_SLICES, max(n, -(-file_bytes // TARGET_SLICE_BYTES)))
 
 
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None,
@@ -62,6 +65,7 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int
     cols = [F.col(c) for c in (*keys, *order)]
     if freeze:
         df = df.checkpoint(eager=True)
+        n = n or min(MAX_SLICES, -(-df.count() // FROZEN_SLICE_ROWS) or 1)
     return (df.repartitionByRange(n or slice_count(df), *cols)
             .sortWithinPartitions(*cols)
             .withColumn(SLICE, F.spark_partition_id())
