@@ -69,7 +69,34 @@ def beats(spark, sf):
                     F.when(F.col("event_type") == "error", 2).otherwise(0).alias("error_delta"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("success_delta"))
 
 
-@query("heartbeat_score")
+HEART_SQL = """WITH RECURSIVE b AS (SELECT user_id AS op, epoch_us(ts) // 3600 AS ts, event_id AS id, value * 20 AS ms, CASE WHEN event_type = 'click' THEN event_id % 9 ELSE 0 END AS c,
+  CASE WHEN event_type = 'error' THEN 2 ELSE 0 END AS err, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS win, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (
+  SELECT DISTINCT op, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS ts, CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, 0::DOUBLE AS last, 0::DOUBLE AS ewma, 5::DOUBLE AS tokens, CAST(NULL AS BIGINT) AS refill,
+         CAST([] AS BIGINT[]) AS burst, CAST(0 AS BIGINT) AS rapid, CAST(NULL AS BIGINT) AS since, CAST(0 AS BIGINT) AS streak, 'CLEAR' AS mode, CAST(0 AS BIGINT) AS until, 0::DOUBLE AS drift, 0::DOUBLE AS spam, 0::DOUBLE AS score FROM b
+  UNION ALL
+  SELECT op, rn, ts, id, n, last, ewma, tokens, refill, burst, rapid, since, streak,
+    CASE WHEN mode NOT IN ('CLEAR', 'ELEVATED') THEN mode WHEN score >= 0.7 THEN 'LOCKED' WHEN score >= 0.4 THEN 'ELEVATED' WHEN score < 0.35 THEN 'CLEAR' ELSE mode END,
+    CASE WHEN mode IN ('CLEAR', 'ELEVATED') AND score >= 0.7 THEN ts + 60000000 ELSE until END, drift, spam, score
+  FROM (SELECT *, least(1.0, greatest(0.0, 0.4 * least(drift / 2.0, 1.0) + 0.35 * least(streak / 4.0, 1.0) + 0.25 * least(spam / 5.0, 1.0))) AS score
+    FROM (SELECT *, CASE WHEN n >= 5 AND ewma > 0 THEN abs(last - ewma) / ewma ELSE 0 END AS drift,
+        (1.0 - tokens / 5.0) * 2.0 + greatest(0.0, len(list_filter(burst, lambda m: ts - m <= 500000)) - 2) / 3.0 * 3.0 + greatest(0.0, rapid / greatest(0.1, (ts - coalesce(since, 0)) / 1e6) - 0.5) AS spam
+      FROM (SELECT op, rn, ts, id, CASE WHEN fresh THEN 0 ELSE n END AS n, CASE WHEN fresh THEN 0 ELSE last END AS last, CASE WHEN fresh THEN 0 ELSE ewma END AS ewma, CASE WHEN fresh THEN 5 ELSE tokens END AS tokens,
+          CASE WHEN NOT fresh THEN refill END AS refill, CASE WHEN fresh THEN CAST([] AS BIGINT[]) ELSE burst END AS burst, CASE WHEN fresh THEN 0 ELSE rapid END AS rapid, CASE WHEN NOT fresh THEN since END AS since,
+          CASE WHEN fresh THEN 0 ELSE streak END AS streak, CASE WHEN fresh THEN 'CLEAR' ELSE mode END AS mode, CASE WHEN fresh THEN 0 ELSE until END AS until
+        FROM (SELECT *, mode = 'COOLDOWN' AND ts >= until AS fresh
+          FROM (SELECT t.op, t.rn, t.ts, t.id, CASE WHEN t.ms > 0 AND t.ms < 30000 THEN least(w.n + 1, 20) ELSE w.n END AS n, CASE WHEN t.ms > 0 AND t.ms < 30000 THEN t.ms ELSE w.last END AS last,
+              CASE WHEN t.ms > 0 AND t.ms < 30000 THEN CASE WHEN w.ewma = 0 THEN t.ms ELSE 0.15::DOUBLE * t.ms + 0.85::DOUBLE * w.ewma END ELSE w.ewma END AS ewma,
+              CASE WHEN t.c > 0 THEN greatest(0.0, least(5.0, w.tokens + greatest(0, t.ts - coalesce(w.refill, t.ts)) / 1e6) - t.c) ELSE w.tokens END AS tokens, CASE WHEN t.c > 0 THEN t.ts ELSE w.refill END AS refill,
+              CASE WHEN t.c > 0 THEN list_concat(w.burst, list_transform(range(0, t.c), lambda k: t.ts))[-10:] ELSE w.burst END AS burst,
+              CASE WHEN t.c > 0 THEN CASE WHEN t.ts - coalesce(w.since, t.ts) > 10000000 THEN 0 ELSE w.rapid END + t.c ELSE w.rapid END AS rapid,
+              CASE WHEN t.c > 0 THEN CASE WHEN t.ts - coalesce(w.since, t.ts) > 10000000 THEN t.ts ELSE coalesce(w.since, t.ts) END ELSE w.since END AS since,
+              CASE WHEN t.win > 0 THEN greatest(0, w.streak + t.err - 2 * t.win) ELSE w.streak + t.err END AS streak, CASE WHEN w.mode = 'LOCKED' THEN 'COOLDOWN' ELSE w.mode END AS mode, w.until
+            FROM w JOIN b t ON t.op = w.op AND t.rn = w.rn + 1))))))
+SELECT op AS operator_id, ts AS ts_us, id AS beat_id, round(drift, 4) AS reaction_drift, streak AS error_streak, round(spam, 4) AS spam_intensity, round(score, 4) AS composite, mode AS state, until AS locked_until_us FROM w WHERE rn > 0"""
+
+
+@query("heartbeat_score", HEART_SQL)
 def _(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return ops.heartbeat_score(beats(spark, sf))

@@ -33,12 +33,13 @@ FROZEN_SLICE_ROWS = 500_000
 
 
 def slice_count(df: DataFrame) -> int:
-    """Shuffle partitions of the session, more when the input is large.
+    """One slice per core (at most the shuffle partitions), more when the input is large.
 
     Only files have a measured size; the statistics of derived tables are
     products of guesses.  A checkpointed input counts by its partitions.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     file_bytes = 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     for i in range(leaves.size()):

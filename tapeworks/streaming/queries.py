@@ -131,12 +131,22 @@ def dedupe_stream(signals: DataFrame, *, key: str = "idempotency_key", delay: st
     return signals.withColumn("ts", F.timestamp_micros("created_us")).withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
-def drain(stream: DataFrame, *, name: str = "stream") -> DataFrame:
-    """Run a stream over all data available now and read back what it wrote."""
+def drain(stream: DataFrame, *, name: str = "stream", state_partitions: int | None = None) -> DataFrame:
+    """Run a stream over all data available now and read back what it wrote.
+
+    A stream fixes its number of state partitions when it starts; by default one per core.
+    """
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/log").trigger(availableNow=True).start()
-    q.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(state_partitions or min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        q = stream.writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/log") \
+            .trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(base + "/out")
 
 
