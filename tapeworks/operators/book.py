@@ -99,11 +99,11 @@ def sequence_guard(headers: DataFrame) -> DataFrame:
                 "msg_id BIGINT, ts_us BIGINT, valid BOOLEAN, synced BOOLEAN")
 
 
-def book_levels(updates: DataFrame) -> DataFrame:
+def book_levels(updates: DataFrame, keep: tuple[str, ...] = ("symbol", "msg_id")) -> DataFrame:
     """One row per level of every message."""
     sides = F.array(F.struct(F.lit("bid").alias("side"), F.col("bids").alias("levels")), F.struct(F.lit("ask").alias("side"), F.col("asks").alias("levels")))
-    one = updates.select("symbol", "msg_id", F.explode(sides).alias("_s"))
-    return one.select("symbol", "msg_id", "_s.side", F.explode("_s.levels").alias("_l")).select("symbol", "msg_id", "side", "_l.price", "_l.qty")
+    one = updates.select(*keep, F.explode(sides).alias("_s"))
+    return one.select(*keep, "_s.side", F.explode("_s.levels").alias("_l")).select(*keep, "side", "_l.price", "_l.qty")
 
 
 def book_at(updates: DataFrame, at_us: int, *, depth: int = 50, trades: DataFrame | None = None) -> DataFrame:
@@ -121,7 +121,9 @@ def book_at(updates: DataFrame, at_us: int, *, depth: int = 50, trades: DataFram
         .select("symbol", F.col("_s.epoch").alias("epoch"), F.col("_s.consistent").alias("consistent"), "updated_us")
     applied = verdicts.where(F.col("verdict").isin("ok", "snapshot", "replayed")).select("symbol", "msg_id", "epoch", order.alias("_o"))
     live = lookup(applied, state.where("consistent").select("symbol", "epoch"), ["symbol", "epoch"], "inner")
-    levels = book_levels(updates.where(F.col("ts_us") <= at_us)).join(live.select("symbol", "msg_id", "_o"), ["symbol", "msg_id"]) \
+    # messages since the last snapshot are few: they select the updates before any level is unpacked
+    current = lookup(updates.where(F.col("ts_us") <= at_us), live.select("symbol", "msg_id", "_o"), ["symbol", "msg_id"], "inner")
+    levels = book_levels(current, ("symbol", "_o")) \
         .groupBy("symbol", "side", "price").agg(F.max_by(F.struct("qty", "_o"), "_o").alias("_q")) \
         .select("symbol", "side", "price", F.col("_q.qty").alias("qty"), F.col("_q._o.ts_us").alias("level_us"))
     if trades is not None:

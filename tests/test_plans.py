@@ -126,3 +126,31 @@ def test_same_state():
 def test_slice_count_ignores_guesses(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet")
     assert slice_count(ev.join(ev.withColumnRenamed("event_id", "e2"), "user_id")) == 4
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_folds_emit_without_a_shuffle(rows):
+    text = plan(fold(rows, ["k"], ["t", "id"], reset_sum, 0, "id long, state long, resets long", n=5))
+    assert "MapInPandas" in text and "Exchange" not in text
+
+
+def test_running_shuffles_slices_not_keys(rows):
+    text = plan(running(rows, ["k"], ["t", "id"], {"s": ("sum", F.col("v"))}, n=5))
+    assert "BroadcastHashJoin" in text
+    assert "hashpartitioning(_slice" in text and "Exchange rangepartitioning" not in text
+
+
+def test_scans_are_pruned(spark, sf):
+    from tapeworks.catalog.ledger import unresolved
+    text = plan(unresolved(spark, sf))
+    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)]" in text
+    assert "o_orderpriority" not in text
+
+
+def test_split_bars_stay_in_the_jvm(spark, sf):
+    from tapeworks.operators.bars import split_bars
+    from tapeworks.sources.tape import tape
+    assert "Pandas" not in plan(split_bars(tape(spark, sf), 5_000_000))
