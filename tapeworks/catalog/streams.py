@@ -29,14 +29,14 @@ def live_ticks(spark, sf):
 RADAR_SQL = (BANK_SQL.rstrip() + ALERT_SQL[ALERT_SQL.index(",\nwalk AS ("):].replace("walk", "barwalk") + f""",
 {greedy_sql('thin', 'bank', LIMIT, key='kind, symbol')}
 SELECT 'VPIN' AS kind, symbol, end_us AS ts_us, bar_idx AS ref_id, direction, close AS price, round(vpin, 6) AS vpin, round(z_score, 5) AS z_score, absorption FROM radar
-UNION ALL SELECT kind, symbol, ts_us, trade_id, direction, price, 0, CASE WHEN kind = 'OFI_PULSE' THEN round(ratio_to_median, 5) ELSE 0 END, false FROM thin""")
+UNION ALL SELECT kind, symbol, ts_us, trade_id, direction, price, 0, CASE WHEN kind = 'OFI_PULSE' THEN ratio_to_median ELSE 0 END, false FROM thin""")
 
 
 @query("stream_radar", RADAR_SQL)
 def _(spark, sf):
     t = live_ticks(spark, sf).where("notional > 0").join(src.turnover(spark, sf), "symbol", "left")
     out = st.drain(st.stream_radar(t, PARAMS), name="radar")
-    z = F.when(F.col("kind") == "VPIN", F.round("z_score", 5)).otherwise(F.round(F.round("z_score", 6), 5))
+    z = F.when(F.col("kind") == "VPIN", F.round("z_score", 5)).otherwise(F.round("z_score", 6))
     return out.select("kind", "symbol", "ts_us", "ref_id", "direction", "price", F.round("vpin", 6).alias("vpin"), z.alias("z_score"), "absorption")
 
 
@@ -65,7 +65,8 @@ def episodes(limit: int, key: str) -> str:
 UNION ALL SELECT {col}, 'PARTIAL_BLINDNESS_CLEARED', cleared_us FROM s WHERE cleared_us IS NOT NULL"""
 
 
-@query("stream_silence", f"WITH b AS (SELECT epoch_us(ts) AS ts_us, event_id FROM events WHERE epoch_us(ts) // 1000000 < (SELECT max(epoch_us(ts)) // 1000000 - 1 FROM events)), {episodes(900_000_000, '')}")
+@query("stream_silence", f"""WITH b AS (SELECT epoch_us(ts) AS ts_us, event_id FROM events WHERE epoch_us(ts) // 1000000 < (SELECT max(epoch_us(ts)) // 1000000 - 1 FROM events)), {episodes(900_000_000, '')}
+UNION ALL SELECT 'feed', 'PARTIAL_BLINDNESS', ts_us + 900000000 FROM s WHERE cleared_us IS NULL AND ts_us + 900000000 < (SELECT max(epoch_us(ts)) - 2000000 FROM events)""")
 def _(spark, sf):
     return st.drain(st.stream_silence(live_ticks(spark, sf), 900_000_000), name="silence")
 
