@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.functions.numeric import clamp
+from tapeworks.functions.numeric import clamp, floor_div
 
 # Sensitivity tiers.
 TIERS = {
@@ -15,9 +15,13 @@ TIERS = {
 }
 
 
-def notional_polarity(ticks: DataFrame) -> DataFrame:
-    """Traded value, and whether the passive side was the buyer (an aggressive sell)."""
-    return ticks.withColumn("notional", F.col("price") * F.col("size")).withColumn("is_buyer_maker", F.col("side") == "Sell")
+def notional_polarity(ticks: DataFrame, scale: int = 1) -> DataFrame:
+    """Traded value, and whether the passive side was the buyer (an aggressive sell).
+
+    With price and size both scaled (1e8 on the wire) pass that ``scale``.
+    """
+    value = F.col("price") * F.col("size") if scale == 1 else floor_div(F.col("price").cast("decimal(20,0)") * F.col("size").cast("decimal(18,0)"), F.lit(scale))
+    return ticks.withColumn("notional", value).withColumn("is_buyer_maker", F.col("side") == "Sell")
 
 
 def adaptive_threshold(turnover: Column, *, target_bars: float = 200.0, low: float = 20_000.0, high: float = 5_000_000.0,

@@ -113,19 +113,25 @@ def resync_bars(tape: DataFrame, controls: DataFrame, threshold: int, *, n: int
     return dense_index(bars.drop("bar_idx"), ["symbol"], ["start_us", "end_us"], "bar_idx")
 
 
-def split_chunks(tape: DataFrame, threshold: int, *, n: int | None = None) -> DataFrame:
-    """Ticks cut at every multiple of the threshold.
+def place(tape: DataFrame, threshold: int, *, n: int | None = None) -> DataFrame:
+    """Every tick's first bar, its offset in that bar and its last bar.
 
-    ``lo``/``hi`` are the tick's place on the symbol's cumulative-notional axis;
-    chunk ``k`` is its overlap with [k*T, (k+1)*T).
+    The prefix sum is DECIMAL: a busy market's cumulative value at 1e8 scale
+    does not fit BIGINT.  Everything derived from it does.
     """
-    placed = running(tape, ["symbol"], ["ts_us", "trade_id"], {"hi": ("sum", F.col("notional"))}, n=n)
-    placed = placed.withColumn("lo", F.col("hi") - F.col("notional"))
-    first, last = floor_div(F.col("lo"), threshold), floor_div(F.col("hi") - 1, threshold)
-    cut = placed.where("notional > 0").withColumn("bar_idx", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("lo"), F.col("bar_idx") * threshold)
-    end = F.least(F.col("hi"), (F.col("bar_idx") + 1) * threshold)
-    return cut.withColumn("chunk_lo", begin).withColumn("chunk", end - begin)
+    placed = running(tape, ["symbol"], ["ts_us", "trade_id"], {"_hi": ("sum", F.col("notional").cast("decimal(28,0)"))}, n=n)
+    lo = F.col("_hi") - F.col("notional")
+    step = F.lit(threshold).cast("decimal(20,0)")
+    return placed.withColumn("_first", floor_div(lo, step)).withColumn("_off", F.pmod(lo, step).cast("long")) \
+        .withColumn("_last", F.col("_first") + floor_div(F.col("_off") + F.col("notional") - 1, threshold)).drop("_hi")
+
+
+def split_chunks(tape: DataFrame, threshold: int, *, n: int | None = None) -> DataFrame:
+    """Ticks cut at every multiple of the threshold of cumulative notional."""
+    cut = place(tape.where("notional > 0"), threshold, n=n).withColumn("bar_idx", F.explode(F.sequence("_first", "_last")))
+    passed = (F.col("bar_idx") - F.col("_first")) * threshold
+    begin = F.greatest(F.col("_off"), passed)
+    return cut.withColumn("chunk", F.least(F.col("_off") + F.col("notional"), passed + threshold) - begin).drop("_first", "_last", "_off")
 
 
 def split_bars(tape: DataFrame, threshold: int, *, ofi: str | None = None, include_open: bool = False,
@@ -157,21 +163,20 @@ def split_bars_scaled(tape: DataFrame, threshold: int, *, scale: int = 100_000_0
     dollars = floor_div(F.col("price").cast("decimal(38,0)") * F.col("size"), scale)
     src = tape.where("price > 0 AND size > 0").select(
         "symbol", "trade_id", "ts_us", "price", "size", "side", dollars.alias("notional")).where("notional > 0")
-    placed = running(src, ["symbol"], ["ts_us", "trade_id"], {"hi": ("sum", F.col("notional"))}, n=n)
-    placed = placed.withColumn("lo", F.col("hi") - F.col("notional"))
-    first, last = floor_div(F.col("lo"), threshold), floor_div(F.col("hi") - 1, threshold)
+    placed = place(src, threshold, n=n)
     start = F.struct(F.col("size").alias("left_qty"), F.col("notional").alias("left_usd"),
                      F.array().cast("array<struct<bar_idx:bigint,usd:bigint,qty:bigint,nth:int>>").alias("chunks"))
 
     def take(acc: Column, bar: Column) -> Column:
-        want = F.least((bar + 1) * threshold - F.greatest(F.col("lo"), bar * threshold), acc["left_usd"])
+        room = threshold - F.when(bar == F.col("_first"), F.col("_off")).otherwise(0)
+        want = F.least(room, acc["left_usd"])
         qty = F.when(want < acc["left_usd"],
                      floor_div(acc["left_qty"].cast("decimal(38,0)") * want, acc["left_usd"])).otherwise(acc["left_qty"])
         piece = F.struct(bar.alias("bar_idx"), want.alias("usd"), qty.alias("qty"), F.size(acc["chunks"]).alias("nth"))
         return F.struct((acc["left_qty"] - qty).alias("left_qty"), (acc["left_usd"] - want).alias("left_usd"),
                         F.concat(acc["chunks"], F.array(piece)).alias("chunks"))
 
-    cut = placed.withColumn("_c", F.explode(F.aggregate(F.sequence(first, last), start, take)["chunks"]))
+    cut = placed.withColumn("_c", F.explode(F.aggregate(F.sequence("_first", "_last"), start, take)["chunks"]))
     at = F.struct("ts_us", "trade_id")
     bars = cut.groupBy("symbol", F.col("_c.bar_idx").alias("bar_idx")).agg(
         F.min("ts_us").alias("ts_open"), F.max("ts_us").alias("ts_close"),

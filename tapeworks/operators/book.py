@@ -29,7 +29,7 @@ def validity_step():
         out, start = [], epochs
         cols = ("msg_id", "ts_us", "type", "u", "first_u", "seq")
         for mid, ts, kind, new, lo, s in zip(*(rows[c].tolist() for c in cols)):
-            lo, s = (None if pd.isna(lo) else int(lo)), (None if pd.isna(s) else int(s))
+            lo, s = (None if lo < 0 else lo), (None if s < 0 else s)
             if kind == "snapshot":
                 u, seq, epochs = new, 0, epochs + 1
                 out.append((mid, ts, mid, 0, "snapshot", epochs, u > 0))
@@ -69,7 +69,9 @@ def book_validity(headers: DataFrame, *, n: int | None = None) -> DataFrame:
     Only headers are folded; levels never leave the JVM.  Replayed deltas get a
     second row placed at their snapshot (``at_id``, ``step``).
     """
-    return fold(headers.select("symbol", "ts_us", "msg_id", "type", "u", "first_u", "seq"), ["symbol"], ["ts_us", "msg_id"],
+    absent = F.lit(-1).cast("long")  # a null would turn the batch's integers into floats
+    return fold(headers.select("symbol", "ts_us", "msg_id", "type", "u", F.coalesce("first_u", absent).alias("first_u"),
+                               F.coalesce("seq", absent).alias("seq")), ["symbol"], ["ts_us", "msg_id"],
                 validity_step(), [0, 0, []],
                 "msg_id BIGINT, ts_us BIGINT, at_id BIGINT, step BIGINT, verdict STRING, epoch BIGINT, consistent BOOLEAN", n=n)
 

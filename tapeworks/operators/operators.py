@@ -45,6 +45,7 @@ def click_audit(events: DataFrame, *, ttl_us: int = 5_000_000) -> DataFrame:
     ``events``: desk, ts_us, event_id, kind (emit / revoke / click), intent_id.
     Every emit and effective revoke raises the version; a late click revokes its intent.
     """
+    events = events.withColumn("intent_id", F.coalesce("intent_id", F.lit(-1).cast("long")))
     return fold(events, ["desk"], ["ts_us", "event_id"], click_step(ttl_us), [None, None, False],
                 "ts_us BIGINT, event_id BIGINT, intent_id BIGINT, verdict STRING, version BIGINT")
 

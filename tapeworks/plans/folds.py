@@ -129,6 +129,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, i
 
     reports = {r.slice: r for r in survey(sliced, {})}
     line = sorted(reports)
+    place = {s: i for i, s in enumerate(line)}
     used: dict[int, object] = {}
 
     def continues(i: int) -> bool:
@@ -144,7 +145,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, i
         rounds += 1
         if rounds > PATIENCE:
             waiting = set(stale)
-            stale = [s for s in stale if line[line.index(s) - 1] not in waiting]
+            stale = [s for s in stale if line[place[s] - 1] not in waiting]
         used.update({s: entry[s] for s in stale})
         redo = sliced.where(F.col(SLICE).isin(stale))
         reports.update({r.slice: r for r in survey(redo, {s: entry[s] for s in stale})})

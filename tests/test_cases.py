@@ -237,3 +237,12 @@ def test_quarantine_of_failures(spark):
     out = regime.consecutive_failures(df, limit=3, quarantine_us=4 * S).orderBy("event_id").collect()
     assert [r.status for r in out] == ["JUDGED", "JUDGED", "JUDGED", "TRIGGERED", "QUARANTINED", "QUARANTINED", "QUARANTINED", "LIFTED", "JUDGED", "JUDGED"]
     assert isinstance(pd.DataFrame([r.asDict() for r in out]), pd.DataFrame)
+
+
+def test_wire_scale_notional_and_large_sums(spark):
+    t = spark.createDataFrame([("A", i, i, 60_000 * 10**8, 3 * 10**8, "Sell") for i in range(4)], "symbol string, ts_us long, trade_id long, price long, size long, side string")
+    n = scoring.notional_polarity(t, 10**8)
+    assert {(r.notional, r.is_buyer_maker) for r in n.collect()} == {(180_000 * 10**8, True)}
+    big = n.withColumn("notional", F.lit(4 * 10**18))  # the cumulative value leaves BIGINT
+    out = bars.split_bars(big, 10**18, include_open=True).orderBy("bar_idx").collect()
+    assert [r.bar_idx for r in out] == list(range(16)) and {r.notional for r in out} == {10**18}
