@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 from tapeworks.functions.numeric import floor_div
 from tapeworks.plans.folds import fold
 from tapeworks.plans.slices import asof, blocks, dense_index, previous, running
+from tapeworks.session import ensure_checkpoint_dir
 
 
 def first_in_range(df: DataFrame, keys: list[str], ts: str, tie: str, width_us: int, cols: dict[str, str]) -> DataFrame:
     """Values of the oldest row of the same key not older than ``width_us``.
 
     A time frame may hold any number of rows, so it is looked up as the first
-    row at or after ``ts - width``: one pass, no frame buffer.
+    row at or after ``ts - width``: one pass, no frame buffer.  The rows stand on
+    both sides of that lookup, so they are stored once instead of computed twice.
     """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     probe = df.withColumn("_from", F.col(ts) - width_us)
     source = df.select(*keys, F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), *[F.col(c).alias(name) for name, c in cols.items()])
     return asof(probe, source, keys, left_ts="_from", right_ts="_ts", left_id=tie, right_id="_tie",
