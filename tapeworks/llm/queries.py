@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe
+from tapeworks.llm import bpe, grace, mixing, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,48 @@ def op1_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op3_virtual_slots")
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in shards 0 to 7, even in bytes, by slots and a stored slot map."""
+    rows, _ = sharding.shard(table(spark, sf_dir, "documents"), 8)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query("op7_grace_dedup", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY length(text) DESC, doc_id) AS place, count(*) OVER (PARTITION BY body) AS group_size FROM d)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY place) AS keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM r""")
+def op7_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its class that stays."""
+    return grace.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op9_water_filling", r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source),
+w AS (SELECT source, source_size, source_size * CAST(2 AS DOUBLE) AS most, CASE (n - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+f AS (SELECT *, most / weight AS ratio, sum(source_size) OVER () * CAST(1.5 AS DOUBLE) AS total,
+  coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS clamped,
+  sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM w),
+l AS (SELECT arg_min((total - clamped) / open, ratio) AS level FROM f WHERE (total - clamped) / open * weight <= most),
+t AS (SELECT source, source_size, least(coalesce(level * weight, most), most) AS target FROM f, l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+c AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS need, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS upto, sum(size) OVER (PARTITION BY d.source, place) AS own
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN upto <= need OR upto - own < need AND upto - need < need - (upto - own) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM c""")
+def op9_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    rows = mixing.sized(table(spark, sf_dir, "documents"))
+    return mixing.repeats(rows, mixing.plan(rows)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+#: fixed values: the list of the contract
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+@query("op10_url_rules")
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by the given rules, else by the mined ones."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
