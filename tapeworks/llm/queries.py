@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, chat, grace, mixing, sharding, url_rules
+from tapeworks.llm import bpe, chat, grace, mixing, quality, sharding, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,10 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = F.array_join(F.transform("ws", lambda w: w["loss"]), "")
     return whole.select("conv_id", total("n").alias("n_turns"), F.sha2(F.array_join(F.transform("ws", lambda w: w["said"]), ""), 256).alias("turns_sha256"),
                         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), total("chars").alias("formatted_chars"))
+
+
+@query("op4_weak_quality")
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score and whether it is accepted; fitted without labels on the same table."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(documents, quality.fit(documents)).select("doc_id", F.col("quality_score").alias("score"), "accepted")
