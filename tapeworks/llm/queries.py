@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, chat, grace, mixing, quality, sharding, url_rules
+from tapeworks.llm import bpe, chat, grace, mixing, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,12 @@ def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score and whether it is accepted; fitted without labels on the same table."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.scored(documents, quality.fit(documents)).select("doc_id", F.col("quality_score").alias("score"), "accepted")
+
+
+@query("op5_toxic_segments")
+def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; learned from the labelled rows of two folds of three."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(documents, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
