@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, chat, grace, mixing, neighbours, quality, sharding, toxicity, url_rules
+from tapeworks.llm import bpe, chat, grace, mixing, near_dedup, neighbours, quality, sharding, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,10 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     found = neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op8_setsketch_dedup")
+def op8_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of near-duplicates it belongs to."""
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
