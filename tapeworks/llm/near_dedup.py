@@ -20,8 +20,10 @@ aside unseen when their estimate is five standard errors below the threshold.
 
 Defined cases: texts without words have an empty set and are linked with nothing; texts with
 fewer words than a shingle are one shingle; A-Z are lower-cased, words are runs of other
-characters than blanks; rows that share an id are one node, linked if any of them is; a null id
-is a node of its own name; empty tables give empty results; other columns are not read.
+characters than blanks; rows that share an id are one node, linked if any of them is; rows
+without an id are nodes named by their texts, after all ids (ids are below 2^62), and a group of
+only such rows has no component id; empty tables give empty results; other columns pass through
+``survivors`` and are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.shared import small_side, stored
@@ -46,7 +48,7 @@ FAR = 5.0
 BLOCK, GROUP = 256, 64
 BATCH_ROWS = 512
 CACHED_WORDS = 200_000
-NOBODY = -(1 << 63)
+UNNAMED, LEAST = 1 << 62, -(1 << 63)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -128,6 +130,11 @@ def likely(above: np.ndarray, below: np.ndarray, equal: np.ndarray, n: np.ndarra
     return grid[np.arange(len(u)), value.argmax(1)]
 
 
+def node(id: str, text: str) -> Column:
+    """A row's id; rows without one are named by their text, after all ids."""
+    return F.coalesce(F.col(id).cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(UNNAMED)))
+
+
 def sketched(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, n, digest, registers) of every row; registers only where a task meets the set for the first time."""
     def run(batches):
@@ -148,7 +155,7 @@ def sketched(df: DataFrame, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                                                   pa.array([registers[k].tobytes() if k in registers else None for k in range(len(sets))], pa.binary())], ["id", "n", "digest", "registers"])
 
-    rows = df.select(F.coalesce(F.col(id).cast("long"), F.lit(NOBODY)).alias("id"), F.col(text).alias("text"))
+    rows = df.select(node(id, text).alias("id"), F.col(text).alias("text"))
     return stored(rows.mapInArrow(run, "id long, n long, digest binary, registers binary"), "sketches")
 
 
@@ -226,7 +233,7 @@ def leftovers(members: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = placed.select("bucket", home.alias("home"), nth.alias("nth"), "id", "label").join(nodes.select("id", "n", "registers"), "id")
     blocks = stored(rows.groupBy("bucket", "home", "nth").agg(F.collect_list(F.struct("id", "label", "n", "registers")).alias("rows")), "blocks")
     other = blocks.select("bucket", F.col("home").alias("home2"), F.col("nth").alias("nth2"), F.col("rows").alias("rows2"))
-    rank = lambda a, b: F.struct(F.coalesce(F.col(a), F.lit(NOBODY)), F.col(b))
+    rank = lambda a, b: F.struct(F.coalesce(F.col(a), F.lit(LEAST)), F.col(b))
     meet = blocks.join(other, "bucket").where((rank("home", "nth") <= rank("home2", "nth2")) & (F.col("home").isNull() | ~F.col("home").eqNullSafe(F.col("home2"))))
     least = PERCENT / 100 - FAR * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / REGISTERS)
 
@@ -263,8 +270,8 @@ def leftovers(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return meet.select("bucket", "rows", "rows2").mapInArrow(compare, "a long, b long")
 
 
-def classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for every row of ``df``."""
+def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, n, component) for every row of ``df``, rows without an id under the name of their node."""
     every = sketched(df, id, text)
     nodes = every.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.max("registers").alias("registers"))
     nodes = stored(nodes, "nodes")
@@ -272,7 +279,7 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     tops = buckets.groupBy("bucket").agg(F.min("id").alias("top"), F.count("*").alias("many")).where("many > 1")
     members = stored(buckets.join(tops.select("bucket", "top"), "bucket"), "members")
     asked = members.select("id").distinct()
-    texts = stored(df.select(F.coalesce(F.col(id).cast("long"), F.lit(NOBODY)).alias("id"), F.col(text).alias("text")).join(small_side(stored(asked, "asked")), "id"), "texts")
+    texts = stored(df.select(node(id, text).alias("id"), F.col(text).alias("text")).join(small_side(stored(asked, "asked")), "id"), "texts")
     shared = stored(members.where("id <> top").groupBy("id", "top").agg(F.count("*").alias("bands")), "shared")
     best = shared.groupBy("id").agg(F.max_by("top", F.struct("bands", -F.col("top"))).alias("a")).select("a", F.col("id").alias("b"))
     links = verified(best, texts)
@@ -288,12 +295,16 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     of = nodes.select("digest", F.col("id").alias("node"))
     linked_to = of.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     full = every.select("id", "n", "digest").join(linked_to, "digest", "left")
-    back = lambda c: F.when(c != NOBODY, c)
-    return full.select(back(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "id")).alias("component_id"))
+    return full.select("id", "n", F.coalesce("component", "id").alias("component"))
+
+
+def classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``df``."""
+    known = lambda c: F.when(F.col(c) < UNNAMED, F.col(c))
+    return grouped(df, id, text).select(known("id").alias("id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def survivors(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one document of each group: the one with the smallest id."""
-    found = classes(df, id, text)
-    stays = stored(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stays")).distinct(), "stays")
-    return df.join(small_side(stays), F.col(id).eqNullSafe(F.col("_stays")), "left_semi")
+    stays = stored(grouped(df, id, text).where("id = component").select(F.col("id").alias("_stays")).distinct(), "stays")
+    return df.join(small_side(stays), node(id, text) == F.col("_stays"), "left_semi")

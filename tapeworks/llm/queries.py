@@ -143,4 +143,4 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near-duplicates it belongs to."""
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
