@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapeworks import schemas
 from tapeworks.functions.numeric import floor_div
+from tapeworks.plans.chains import reset_fold
 from tapeworks.plans.folds import fold
 from tapeworks.plans.slices import blocks, dense_index, running
 
@@ -85,7 +86,7 @@ def dollar_bars(tape: DataFrame, threshold: int | str | Column, *, keys: tuple[s
     limit = F.lit(threshold) if isinstance(threshold, int) else (F.col(threshold) if isinstance(threshold, str) else threshold)
     cols = ("trade_id", "ts_us", "price", "size", "side", "notional")
     src = tape.select(*keys, *cols, limit.cast("long").alias("threshold"))
-    parts = fold(src, keys, ["ts_us", "trade_id"], reset_bar_step(track_gap), [0, None], schemas.PARTIAL_BAR, n=n)
+    parts = reset_fold(src, keys, ["ts_us", "trade_id"], reset_bar_step(track_gap), schemas.PARTIAL_BAR, amount="notional", threshold="threshold", track_clock=track_gap, n=n)
     bars = merge_partials(parts, list(keys))
     if not track_gap:
         bars = bars.drop("max_gap_us")
