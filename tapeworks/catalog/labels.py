@@ -37,7 +37,7 @@ def intents_and_bars(spark, sf):
 
 def barrier_labels(spark, sf):
     intents, bars = intents_and_bars(spark, sf)
-    return labels.triple_barrier(intents, bars, max_bars_limit=8), bars
+    return labels.triple_barrier(intents, bars, block_bars=4), bars
 
 
 @query("triple_barrier", INTENT_SQL + "SELECT * FROM labels")

@@ -108,8 +108,8 @@ def book_levels(updates: DataFrame, keep: tuple[str, ...] = ("symbol", "msg_id")
     return one.select(*keep, "_s.side", F.explode("_s.levels").alias("_l")).select(*keep, "side", "_l.price", "_l.qty")
 
 
-def book_at(updates: DataFrame, at_us: int, *, depth: int = 50, trades: DataFrame | None = None) -> DataFrame:
-    """Books at a time: one row per symbol with state and sorted level arrays.
+def book_at(updates: DataFrame, at_us: int, *, depth: int | None = None, trades: DataFrame | None = None) -> DataFrame:
+    """Books at a time: one row per symbol with state and sorted level arrays (the best ``depth`` levels, all if not given).
 
     The last quantity per price since the current epoch's snapshot counts; zero
     removes the level.  With ``trades`` (``symbol, ts_us, trade_id, price, qty, side``)
@@ -135,9 +135,12 @@ def book_at(updates: DataFrame, at_us: int, *, depth: int = 50, trades: DataFram
             .groupBy("symbol", "side", "price").agg(F.sum("traded").alias("traded"))
         levels = levels.join(after, ["symbol", "side", "price"], "left").withColumn("qty", F.col("qty") - F.coalesce("traded", F.lit(0)))
     near = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
-    stacks = levels.where("qty > 0").groupBy("symbol").agg(*[
-        F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(near.alias("_k"), "price", "qty")))), 1, depth),
-                    lambda l: F.struct(l["price"].alias("price"), l["qty"].alias("qty"))).alias(s + "s") for s in ("bid", "ask")])
+
+    def stack(side: str) -> Column:
+        sorted_ = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(near.alias("_k"), "price", "qty"))))
+        cut = sorted_ if depth is None else F.slice(sorted_, 1, depth)
+        return F.transform(cut, lambda l: F.struct(l["price"].alias("price"), l["qty"].alias("qty"))).alias(side + "s")
+    stacks = levels.where("qty > 0").groupBy("symbol").agg(stack("bid"), stack("ask"))
     none = F.array().cast(f"array<{LEVEL}>")
     return state.join(stacks, "symbol", "left").withColumn("bids", F.coalesce("bids", none)).withColumn("asks", F.coalesce("asks", none))
 
@@ -248,9 +251,9 @@ def book_readiness(books: DataFrame, now_us: int, *, max_age_us: int = 2_500_000
     return books.withColumn("readiness", status)
 
 
-def cross_book_snapshot(updates: DataFrame, at_us: int, budget: int, *, max_age_us: int = 2_500_000, scale: int = SCALE) -> DataFrame:
+def cross_book_snapshot(updates: DataFrame, at_us: int, budget: int, *, max_age_us: int = 2_500_000, scale: int = SCALE, depth: int | None = None) -> DataFrame:
     """Readiness, epoch and safe quantity of every book at one instant, with the overall verdict."""
-    books = max_safe_qty(book_readiness(book_at(updates, at_us), at_us, max_age_us=max_age_us), budget, scale=scale)
+    books = max_safe_qty(book_readiness(book_at(updates, at_us, depth=depth), at_us, max_age_us=max_age_us), budget, scale=scale)
     ready = F.col("readiness") == "READY"
     slices = books.select("symbol", "readiness", "epoch", F.when(ready, F.col("msq_qty")).alias("msq_qty"), F.when(ready, F.col("msq_px")).alias("msq_px"))
     rank = F.array_position(F.array(*[F.lit(r) for r in READINESS]), F.col("readiness"))

@@ -10,27 +10,28 @@ from tapeworks.plans.lookup import lookup
 from tapeworks.plans.slices import dense_index
 
 
-def triple_barrier(intents: DataFrame, bars: DataFrame, *, max_bars_limit: int) -> DataFrame:
+def triple_barrier(intents: DataFrame, bars: DataFrame, *, block_bars: int = 256) -> DataFrame:
     """Label intents (``intent_id, symbol, side, entry_px, entry_bar, tp_bps, sl_bps, max_bars``).
 
-    The bars an intent can see lie in its own block of ``max_bars_limit + 1``
-    bars or the next one, so bars are packed into arrays of two blocks and every
-    intent meets exactly one array: an equi-join whose hot keys AQE can split,
-    and no intent-bar pair is ever shuffled.  Barriers are checked stop first,
-    then target, then the time limit; the stop fills at the worse of stop and
-    bar extreme, the target at its price.
+    Bars are packed into arrays of ``block_bars``; an intent meets the array of
+    every block that its holding time touches, one for most.  That is an
+    equi-join whose hot keys AQE can split, and no intent-bar pair is ever
+    shuffled.  Each meeting gives the block's first hit and its extremes, and an
+    intent's blocks are joined up in order, so any ``max_bars`` is labelled.
+    Barriers are checked stop first, then target, then the time limit; the stop
+    fills at the worse of stop and bar extreme, the target at its price.
     """
-    size = max_bars_limit + 1
-    block = F.floor(F.col("bar_idx") / size).cast("long")
-    packed = bars.withColumn("_block", F.explode(F.array(block, block - 1))).where("_block >= 0") \
-        .groupBy("symbol", "_block").agg(F.array_sort(F.collect_list(F.struct("bar_idx", "high", "low", "close"))).alias("_bars"))
+    block = F.floor(F.col("bar_idx") / block_bars).cast("long")
+    packed = bars.withColumn("_block", block).groupBy("symbol", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("bar_idx", "high", "low", "close"))).alias("_bars"))
     long = F.col("side") > 0
     bps = 10_000
 
     def level(up: Column, down: Column) -> Column:
         return floor_div(F.col("entry_px") * F.when(long, bps + up).otherwise(bps - down), bps)
-    df = intents.withColumn("_block", F.floor(F.col("entry_bar") / size).cast("long")).join(packed, ["symbol", "_block"]) \
-        .withColumn("tp_px", level(F.col("tp_bps"), F.col("tp_bps"))).withColumn("sl_px", level(-F.col("sl_bps"), -F.col("sl_bps")))
+    first, last = (F.floor(c / block_bars).cast("long") for c in (F.col("entry_bar"), F.col("entry_bar") + F.col("max_bars")))
+    df = intents.withColumn("tp_px", level(F.col("tp_bps"), F.col("tp_bps"))).withColumn("sl_px", level(-F.col("sl_bps"), -F.col("sl_bps")))
+    met = df.withColumn("_block", F.explode(F.sequence(first, F.greatest(first, last)))).join(packed, ["symbol", "_block"])
 
     def sl(b):
         return F.when(long, b["low"] <= F.col("sl_px")).otherwise(b["high"] >= F.col("sl_px"))
@@ -41,12 +42,16 @@ def triple_barrier(intents: DataFrame, bars: DataFrame, *, max_bars_limit: int)
     def late(b):
         return b["bar_idx"] - F.col("entry_bar") >= F.col("max_bars")
     path = F.filter("_bars", lambda b: (b["bar_idx"] >= F.col("entry_bar")) & (b["bar_idx"] <= F.col("entry_bar") + F.col("max_bars")))
-    df = df.withColumn("_path", path).drop("_bars", "_block")
-    df = df.withColumn("_hit", F.try_element_at(F.filter("_path", lambda b: sl(b) | tp(b) | late(b)), F.lit(1))).where("_hit IS NOT NULL")
+    met = met.withColumn("_path", path).drop("_bars")
+    met = met.withColumn("_hit", F.try_element_at(F.filter("_path", lambda b: sl(b) | tp(b) | late(b)), F.lit(1)))
+    met = met.withColumn("_seen", F.filter("_path", lambda b: F.col("_hit").isNull() | (b["bar_idx"] <= F.col("_hit.bar_idx"))))
+    part = F.struct("_block", F.array_max(F.transform("_seen", lambda b: b["high"])).alias("top"), F.array_min(F.transform("_seen", lambda b: b["low"])).alias("low"))
+    keys = ["intent_id", "symbol", "side", "entry_px", "entry_bar", "tp_px", "sl_px"]
+    df = met.groupBy(*keys).agg(F.collect_list(part).alias("_parts"), F.min(F.when(F.col("_hit").isNotNull(), F.struct("_block", "_hit"))).alias("_end")).where("_end IS NOT NULL")
+    df = df.withColumn("_hit", F.col("_end._hit")).withColumn("_parts", F.filter("_parts", lambda p: p["_block"] <= F.col("_end._block")))
     hit = F.col("_hit")
-    df = df.withColumn("_seen", F.filter("_path", lambda b: b["bar_idx"] <= F.col("_hit.bar_idx"))) \
-        .withColumn("_top", F.greatest("entry_px", F.array_max(F.transform("_seen", lambda b: b["high"])))) \
-        .withColumn("_low", F.least("entry_px", F.array_min(F.transform("_seen", lambda b: b["low"])))) \
+    df = df.withColumn("_top", F.greatest("entry_px", F.array_max(F.transform("_parts", lambda p: p["top"])))) \
+        .withColumn("_low", F.least("entry_px", F.array_min(F.transform("_parts", lambda p: p["low"])))) \
         .withColumn("label", F.when(sl(hit), -1).when(tp(hit), 1).otherwise(0)) \
         .withColumn("exit_px", F.when(sl(hit), F.when(long, F.least("sl_px", hit["low"])).otherwise(F.greatest("sl_px", hit["high"])))
                     .when(tp(hit), F.col("tp_px")).otherwise(hit["close"]))

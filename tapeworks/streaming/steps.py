@@ -48,7 +48,7 @@ def merge_open(a: dict | None, b: dict) -> dict:
 
 
 def closed_bars(state: dict, rows: pd.DataFrame, threshold: int) -> list[dict]:
-    limits = np.full(len(rows), threshold, dtype=np.int64)
+    limits = rows["threshold"].to_numpy(np.int64) if "threshold" in rows else np.full(len(rows), threshold, dtype=np.int64)
     ends, state["filled"] = bar_ends(rows["notional"].to_numpy(), limits, state["filled"])
     parts = partial_bars(rows, ends, 0, None).drop(columns=["bar_idx", "max_gap_us", "start_id", "end_id"]).to_dict("records")
     out = []
@@ -153,14 +153,22 @@ def limited(state: dict, alerts: list[tuple], cooldown_us: int | None) -> list[t
 def radar_step(p: RadarParams, state: dict, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
     """Advance one symbol by its new ticks, in (ts, id) order.
 
-    Rows at or before the last processed tick are late and dropped.  A row of
-    kind ``resync`` drops the open bar and keeps everything else.
+    Rows before the last processed tick come too late for the state: each is
+    given out as a row of kind ``LATE``; the last tick itself, seen again, is a
+    repeat.  A row of kind ``resync`` drops the open bar and keeps everything
+    else.  A column ``threshold`` sets the bar size tick by tick.
     """
     rows = rows.sort_values(["ts_us", "trade_id"], kind="stable")
+    out: list[tuple] = []
     if state["last"] is not None:
         ts, tid = state["last"]
-        rows = rows[(rows["ts_us"] > ts) | ((rows["ts_us"] == ts) & (rows["trade_id"] > tid))]
-    out: list[tuple] = []
+        fresh = (rows["ts_us"] > ts) | ((rows["ts_us"] == ts) & (rows["trade_id"] > tid))
+        late = rows[~fresh & ~((rows["ts_us"] == ts) & (rows["trade_id"] == tid))]
+        if "kind" in late:
+            late = late[late["kind"] != "resync"]
+        out += [("LATE", t, i, "sell" if s == "Sell" else "buy", p_, p_, usd, 0.0, 0.0, False)
+                for t, i, s, p_, usd in zip(*(late[c].tolist() for c in ("ts_us", "trade_id", "side", "price", "notional")))]
+        rows = rows[fresh]
     control = rows["kind"].to_numpy() == "resync" if "kind" in rows else np.zeros(len(rows), dtype=bool)
     live = rows[~control]
     if len(live):
