@@ -79,13 +79,13 @@ def _(spark, sf):
 
 @query("retry_schedule", f"""WITH {OUTBOX_SQL},
 tries AS (SELECT l_orderkey AS id, bool_or(l_returnflag = 'A') AS delivered, count(*) FILTER (l_returnflag <> 'A') AS failures,
-                 max(epoch_us(l_shipdate)) AS last_us FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey)
+                 max(epoch_us(l_shipdate)) AS last_us FROM lineitem GROUP BY l_orderkey)
 SELECT id, status, created_us, coalesce(last_us + 10000000, execute_after_us) AS execute_after_us,
        CAST(retry_count + coalesce(failures, 0) AS INTEGER) AS retry_count, priority, expires_us
 FROM outbox LEFT JOIN tries USING (id) WHERE NOT coalesce(delivered, false)""")
 def _(spark, sf):
     box = outbox(spark, sf)
-    tries = src.table(spark, sf, "lineitem").where("l_linenumber <= 2").select(
+    tries = src.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("id"), src.micros("l_shipdate").alias("attempt_us"), (F.col("l_returnflag") == "A").alias("ok"))
     return alerts.retry_schedule(box, tries, 10_000_000)
 

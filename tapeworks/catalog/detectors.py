@@ -95,10 +95,10 @@ def _(spark, sf):
     return det.ofi_pulse(src.tape(spark, sf), **OFI).withColumn("ratio_to_median", F.round("ratio_to_median", 6))
 
 
-@query("greedy_cooldown", f"""WITH RECURSIVE {src.TAPE_SQL}, big AS (SELECT symbol, ts_us, trade_id, notional FROM tape WHERE notional >= 200000),
+@query("greedy_cooldown", f"""WITH RECURSIVE {src.TAPE_SQL}, big AS (SELECT symbol, ts_us, trade_id, notional FROM tape),
 {greedy_sql('kept', 'big', 3 * HOUR)} SELECT * FROM kept""")
 def _(spark, sf):
-    big = src.tape(spark, sf).where("notional >= 200000").select("symbol", "ts_us", "trade_id", "notional")
+    big = src.tape(spark, sf).select("symbol", "ts_us", "trade_id", "notional")
     return det.greedy_cooldown(big, ["symbol"], 3 * HOUR)
 
 

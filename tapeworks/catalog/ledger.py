@@ -118,16 +118,15 @@ def _(spark, sf):
     return ledger.orphan_orders(ex, src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("cl_ord_id")), ex.where("symbol = 'M3'")).select("cl_ord_id", "symbol")
 
 
-@query("fill_drift", """WITH e AS (SELECT l_orderkey AS id, epoch_us(l_shipdate) * 10 + l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 'FILLED' WHEN 'N' THEN 'DISPATCHED' ELSE 'PENDING' END AS status,
-  round(o_totalprice, 2) AS pre, CASE WHEN l_returnflag = 'A' THEN o_totalprice * 1.001 END AS exe FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) JOIN orders ON o_orderkey = l_orderkey)
+@query("fill_drift", """WITH e AS (SELECT l_orderkey AS id, (epoch_us(l_shipdate), l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos, CASE l_returnflag WHEN 'A' THEN 'FILLED' WHEN 'N' THEN 'DISPATCHED' ELSE 'PENDING' END AS status,
+  round(o_totalprice, 2) AS pre, CASE WHEN l_returnflag = 'A' THEN o_totalprice * 1.001 END AS exe FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
 SELECT id AS cl_ord_id, arg_max(status, pos) AS status, round(abs(arg_max(exe, pos) FILTER (WHERE exe IS NOT NULL) - arg_max(pre, pos)), 5) AS drift, arg_max(status, pos) IN ('PENDING', 'DISPATCHED') AS unresolved FROM e GROUP BY id""")
 def _(spark, sf):
-    li = src.table(spark, sf, "lineitem")
-    once = li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first("l_returnflag").alias("l_returnflag"), F.first("l_shipdate").alias("l_shipdate")).where("n = 1")
+    li = src.table(spark, sf, "lineitem")  # line numbers repeat within an order, so a line is named by its part as well
     o = src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
     flag = F.col("l_returnflag")
-    ev = once.join(o, "l_orderkey").select(
-        F.col("l_orderkey").alias("cl_ord_id"), src.micros("l_shipdate").alias("ts_us"), F.col("l_linenumber").alias("seq"),
+    ev = li.join(o, "l_orderkey").select(
+        F.col("l_orderkey").alias("cl_ord_id"), src.micros("l_shipdate").alias("ts_us"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("seq"),
         F.when(flag == "A", "FILLED").when(flag == "N", "DISPATCHED").otherwise("PENDING").alias("status"), F.round("o_totalprice", 2).alias("pre_flight_price"),
         F.when(flag == "A", F.col("o_totalprice") * 1.001).alias("execution_price"))
     return ledger.fill_drift(ev).withColumn("drift", F.round("drift", 5))

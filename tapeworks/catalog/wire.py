@@ -33,7 +33,7 @@ def _(spark, sf):
 
 
 def book_messages(spark, sf):
-    t = src.ticks(spark, sf).where("price > 4")
+    t = src.ticks(spark, sf).withColumn("price", F.greatest("price", F.lit(5)))
     level = lambda p, q: F.array(dec(p), q.cast("string"))
     p, q = F.col("price"), F.col("size")
     data = F.struct(F.col("symbol").alias("s"), F.array(level(p - 1, q), level(p - 2, q + 1), F.array(dec(p))).alias("b"),
@@ -45,9 +45,9 @@ def book_messages(spark, sf):
 
 
 @query("parse_book", f"""WITH {src.TICKS_SQL}, l AS (
-  SELECT *, 'bid' AS lside, 0 AS level, price - 1 AS lp, size AS lq FROM ticks WHERE price > 4
-  UNION ALL SELECT *, 'bid', 1, price - 2, size + 1 FROM ticks WHERE price > 4
-  UNION ALL SELECT *, 'ask', 0, price + 1, size + 2 FROM ticks WHERE price > 4)
+  SELECT *, 'bid' AS lside, 0 AS level, greatest(price, 5) - 1 AS lp, size AS lq FROM ticks
+  UNION ALL SELECT *, 'bid', 1, greatest(price, 5) - 2, size + 1 FROM ticks
+  UNION ALL SELECT *, 'ask', 0, greatest(price, 5) + 1, size + 2 FROM ticks)
 SELECT trade_id AS msg_id, symbol, CASE WHEN trade_id % 5 = 0 THEN 'snapshot' ELSE 'delta' END AS type, ts_us // 1000 * 1000 AS ts_us,
   trade_id + 1 AS u, CASE WHEN trade_id % 5 <> 0 THEN trade_id + 1 END AS first_u, trade_id AS seq, lside AS side,
   CAST(level AS BIGINT) AS level, lp * 1000000 AS price, lq * 100000000 AS qty FROM l""")

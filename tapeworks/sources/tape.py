@@ -46,11 +46,9 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best bid and ask around every tick: one cent wide, plus trade_id % 3."""
-    half = 1 + F.col("trade_id") % 3
-    return (ticks(spark, sf_dir).where("price > 4")
-            .select("symbol", F.col("trade_id").alias("quote_id"), "ts_us", (F.col("price") - half).alias("bid"),
-                    (F.col("price") + half).alias("ask")))
+    """Best bid and ask around every tick: one cent wide, plus trade_id % 3; prices up to 5 count as 5, so that bids are positive."""
+    half, mid = 1 + F.col("trade_id") % 3, F.greatest(F.col("price"), F.lit(5))
+    return ticks(spark, sf_dir).select("symbol", F.col("trade_id").alias("quote_id"), "ts_us", (mid - half).alias("bid"), (mid + half).alias("ask"))
 
 
 def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,5 +65,5 @@ TICKS_SQL = """ticks AS (
 TAPE_SQL = TICKS_SQL + """,
 tape AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_us, trade_id) AS rn
          FROM ticks WHERE notional > 0)"""
-QUOTES_SQL = """quotes AS (SELECT symbol, trade_id AS quote_id, ts_us, price - (1 + trade_id % 3) AS bid,
-                   price + (1 + trade_id % 3) AS ask FROM ticks WHERE price > 4)"""
+QUOTES_SQL = """quotes AS (SELECT symbol, trade_id AS quote_id, ts_us, greatest(price, 5) - (1 + trade_id % 3) AS bid,
+                   greatest(price, 5) + (1 + trade_id % 3) AS ask FROM ticks)"""
