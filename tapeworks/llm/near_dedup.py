@@ -178,21 +178,29 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node with an edge; edges (a, b) in either order.
 
     Large-star and small-star steps in turn: each node's larger neighbours are tied to its least
-    one, then its smaller ones, until every edge leads from a node to the least of its component.
+    one, then its smaller ones, until the edges are stars: one edge a node, and no centre that
+    has one itself.
     """
     pairs = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct()
-    pairs, last = stored(pairs, "edges"), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low"))
-        large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m").distinct()
+        large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m")
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("low").alias("m")), F.struct(F.col("m").alias("v"), F.col("low").alias("m")))).alias("e")).select("e.v", "e.m").where("v <> m").distinct()
         pairs = stored(small, "edges")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.col("m").cast("decimal(38,0)")), F.count_distinct("v"), F.bit_xor(F.xxhash64("v", "m"))).first())
-        if now == last:
+        roles = pairs.select(F.col("v").alias("id"), F.lit(1).alias("own"), F.lit(0).alias("centre")).unionByName(pairs.select(F.col("m").alias("id"), F.lit(0).alias("own"), F.lit(1).alias("centre")))
+        if roles.groupBy("id").agg(F.sum("own").alias("own"), F.max("centre").alias("centre")).where("own + centre > 1").isEmpty():
             return pairs.select(F.col("v").alias("id"), F.col("m").alias("component")).unionByName(pairs.select(F.col("m").alias("id"), F.col("m").alias("component")).distinct())
-        last = now
+
+
+def roots(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """(id, component) a few steps up from each b, where links (a, b) lead from b to one smaller a: near enough to skip pairs by."""
+    up = links.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    for _ in range(jumps):
+        higher = up.select(F.col("id").alias("component"), F.col("component").alias("top"))
+        up = up.join(higher, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return stored(up, "roots")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -283,7 +291,7 @@ def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
     shared = stored(members.where("id <> top").groupBy("id", "top").agg(F.count("*").alias("bands")), "shared")
     best = shared.groupBy("id").agg(F.max_by("top", F.struct("bands", -F.col("top"))).alias("a")).select("a", F.col("id").alias("b"))
     links = verified(best, texts)
-    label = components(links)
+    label = roots(links)
     named = lambda rows, key, name: rows.join(label.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     apart = named(named(shared.select(F.col("top").alias("a"), F.col("id").alias("b")), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
     links = links.unionByName(verified(apart, texts))
