@@ -10,8 +10,8 @@ registers, so most shingles stop after the first that cannot lower any register.
 is compared with the smallest node of its buckets: first with the one it shares most buckets
 with, then with the others that are still in another component.  4. Buckets that still hold
 several components are compared in full, block against block, on the sketches: the likelihood of
-the register orders (and the set sizes) estimates the similarity, and pairs of different
-components that could reach the threshold go on.  5. Every link is confirmed on the full sets.
+the register orders (and the set sizes) estimates the similarity, pairs of different components
+that could reach the threshold are counted on hashed sets, and the links go on.  5. Every link is confirmed on the full sets.
 So a group of thousands of copies costs about a comparison a member, and no link that would join
 two components is left out.
 
@@ -226,11 +226,25 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.groupBy("batch").applyInArrow(check, "a long, b long"), "links")
 
 
-def leftovers(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within one bucket that may reach the threshold.
+def short_sets(texts: DataFrame) -> DataFrame:
+    """(id, hashes) with 32-bit hashes of a text's shingles: small enough to travel with every bucket."""
+    def run(batches):
+        known = Hashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique((hashed(t, known) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["id", "hashes"])
+
+    return stored(texts.select("id", "text").mapInArrow(run, "id long, hashes binary").groupBy("id").agg(F.max("hashes").alias("hashes")), "short_sets")
+
+
+def leftovers(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within one bucket that reach the threshold, up to the collisions of short hashes.
 
     Members of one bucket and component that are many get blocks of their own, the others share
-    blocks, and only blocks that can hold different components meet.
+    blocks, and only blocks that can hold different components meet.  Pairs that the likelihood
+    does not rule out are counted on their hashed sets in the same task, so what leaves it is not
+    the pairs of a group but its links.
     """
     by_label = members.groupBy("bucket", "label").agg(F.count("*").alias("many"))
     wide = by_label.select("bucket", "label", (F.col("many") >= BLOCK).alias("alone"), "many")
@@ -238,8 +252,8 @@ def leftovers(members: DataFrame, nodes: DataFrame) -> DataFrame:
     placed = members.join(wide, ["bucket", "label"]).join(few, "bucket", "left")
     home = F.when(F.col("alone"), F.col("label"))
     nth = F.pmod(F.xxhash64("id"), F.ceil(F.when(F.col("alone"), F.col("many")).otherwise(F.col("others")) / BLOCK))
-    rows = placed.select("bucket", home.alias("home"), nth.alias("nth"), "id", "label").join(nodes.select("id", "n", "registers"), "id")
-    blocks = stored(rows.groupBy("bucket", "home", "nth").agg(F.collect_list(F.struct("id", "label", "n", "registers")).alias("rows")), "blocks")
+    rows = placed.select("bucket", home.alias("home"), nth.alias("nth"), "id", "label").join(nodes.select("id", "n", "registers").join(sets, "id"), "id")
+    blocks = stored(rows.groupBy("bucket", "home", "nth").agg(F.collect_list(F.struct("id", "label", "n", "registers", "hashes")).alias("rows")), "blocks")
     other = blocks.select("bucket", F.col("home").alias("home2"), F.col("nth").alias("nth2"), F.col("rows").alias("rows2"))
     rank = lambda a, b: F.struct(F.coalesce(F.col(a), F.lit(LEAST)), F.col(b))
     meet = blocks.join(other, "bucket").where((rank("home", "nth") <= rank("home2", "nth2")) & (F.col("home").isNull() | ~F.col("home").eqNullSafe(F.col("home2"))))
@@ -251,8 +265,8 @@ def leftovers(members: DataFrame, nodes: DataFrame) -> DataFrame:
                 sides = []
                 for side in (one.values, two.values):
                     ids, label, n = (np.asarray(side.field(f)) for f in ("id", "label", "n"))
-                    sides.append((ids, label, n, np.frombuffer(b"".join(side.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)))
-                (ida, la, na, ra), (idb, lb, nb, rb) = sides
+                    sides.append((ids, label, n, np.frombuffer(b"".join(side.field("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS), [np.frombuffer(h, np.uint32) for h in side.field("hashes").to_pylist()]))
+                (ida, la, na, ra, ha), (idb, lb, nb, rb, hb) = sides
                 i, j = np.nonzero((la[:, None] != lb[None, :]) & (100 * np.minimum(na[:, None], nb[None, :]) >= PERCENT * np.maximum(na[:, None], nb[None, :])))
                 good = []
                 for at in range(0, len(i), 20_000):
@@ -265,6 +279,10 @@ def leftovers(members: DataFrame, nodes: DataFrame) -> DataFrame:
                     more = (ra[p] > rb[q]).sum(1)
                     fits = meets.any(1) & (key_of(ra[p], first) == bucket.as_py())
                     fits &= likely(more, REGISTERS - equal - more, equal, na[p].astype(float), nb[q].astype(float)) >= least
+                    p, q = p[fits], q[fits]
+                    both = np.array([len(np.intersect1d(ha[x], hb[y], assume_unique=True)) for x, y in zip(p.tolist(), q.tolist(), strict=True)], np.int64)
+                    both += 2 + (na[p] + nb[q]) // 5000  # hashes that fell together
+                    fits = 100 * both >= PERCENT * (na[p] + nb[q] - both)
                     good.append(np.stack([ida[p[fits]], idb[q[fits]]]))
                 found = np.concatenate(good, 1) if good else np.zeros((2, 0), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found.min(0)), pa.array(found.max(0))], ["a", "b"])
@@ -298,7 +316,9 @@ def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
     label = components(links)
     placed = stored(named(members.select("bucket", "id"), "id", "label"), "labelled")
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rest = leftovers(stored(placed.join(split, "bucket"), "open"), nodes)
+    still = stored(placed.join(split, "bucket"), "open")
+    held = texts.join(small_side(stored(still.select("id").distinct(), "held")), "id")
+    rest = leftovers(still, nodes, short_sets(held))
     label = components(links.unionByName(verified(rest, texts)))
     of = nodes.select("digest", F.col("id").alias("node"))
     linked_to = of.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

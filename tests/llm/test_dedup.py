@@ -17,7 +17,7 @@ def exact(rows):
     return groups
 
 
-@pytest.mark.parametrize("table_bytes", [1 << 25, 2000])
+@pytest.mark.parametrize("table_bytes", [1 << 25, 20_000])
 def test_exact_classes(documents, odd, table_bytes):
     """A tiny table makes buckets overflow to deeper levels; the result is the same."""
     for df in (documents.select("doc_id", "text"), odd):

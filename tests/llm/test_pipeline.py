@@ -48,7 +48,8 @@ def test_run_and_empty(spark, sf, empty, tmp_path):
 def test_odd_rows(spark, odd, sf):
     docs = odd
     for name, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), stage(spark, docs, sf).schema)
+        done = stage(spark, docs, sf)
+        docs = spark.createDataFrame(done.collect(), done.schema)
         if name != "encoding":
             assert docs.columns == odd.columns
     assert docs.count() > 0
