@@ -16,8 +16,8 @@ w AS (SELECT symbol, rn, CASE WHEN side = 'BUY' THEN qty ELSE 0 END AS q, CASE W
     CASE WHEN side = 'BUY' THEN (w.q * w.avg_px + t.qty * t.price) / (w.q + t.qty) ELSE w.avg_px END
   FROM w JOIN nf t ON t.symbol = w.symbol AND t.rn = w.rn + 1),
 confirmed AS (SELECT symbol, arg_max(q, rn) AS confirmed_qty, arg_max(avg_px, rn) AS confirmed_avg_px FROM w GROUP BY symbol)"""
-OPEN_SQL = """unresolved AS (SELECT o_orderkey AS cl_ord_id, 'M' || (o_custkey % 45) AS symbol, (o_orderkey % 9 + 1)::DOUBLE AS qty, o_totalprice AS worst_price,
-  epoch_us(o_orderdate) AS dispatched_us FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 45 NOT IN (3, 4))"""
+OPEN_SQL = """unresolved AS (SELECT o_orderkey AS cl_ord_id, CASE WHEN o_custkey % 45 IN (3, 4) THEN 'U' ELSE 'M' END || (o_custkey % 45) AS symbol, (o_orderkey % 9 + 1)::DOUBLE AS qty, o_totalprice AS worst_price,
+  epoch_us(o_orderdate) AS dispatched_us FROM orders WHERE o_orderstatus = 'P')"""
 
 
 def fills(spark, sf):
@@ -34,8 +34,8 @@ def confirmed(spark, sf):
 def unresolved(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     m = F.col("o_custkey") % 45
-    return src.table(spark, sf, "orders").where((F.col("o_orderstatus") == "P") & ~m.isin(3, 4)).select(
-        F.col("o_orderkey").alias("cl_ord_id"), F.concat(F.lit("M"), m.cast("string")).alias("symbol"), (F.col("o_orderkey") % 9 + 1).cast("double").alias("qty"),
+    return src.table(spark, sf, "orders").where(F.col("o_orderstatus") == "P").select(
+        F.col("o_orderkey").alias("cl_ord_id"), F.concat(F.when(m.isin(3, 4), "U").otherwise("M"), m.cast("string")).alias("symbol"), (F.col("o_orderkey") % 9 + 1).cast("double").alias("qty"),
         F.col("o_totalprice").alias("worst_price"), src.micros("o_orderdate").alias("dispatched_us"))
 
 
@@ -73,20 +73,21 @@ def _(spark, sf):
     return ledger.order_reconcile(unresolved(spark, sf), h).select("cl_ord_id", "fate", "filled_qty", "avg_price", "resolved")
 
 
-POS_SQL = """exch AS (SELECT 'M' || (o_custkey % 45) AS symbol, (max(o_orderkey) % 400)::DOUBLE AS size FROM orders WHERE o_custkey % 45 <> 7 GROUP BY 1)"""
+# Some names exist on one side only: U3 and U4 (orders), X7 (exchange), L9 (local books).
+POS_SQL = """exch AS (SELECT CASE WHEN o_custkey % 45 = 7 THEN 'X' ELSE 'M' END || (o_custkey % 45) AS symbol, (max(o_orderkey) % 400)::DOUBLE AS size FROM orders GROUP BY 1)"""
 
 
 def exchange(spark, sf):
     m = F.col("o_custkey") % 45
-    return src.table(spark, sf, "orders").where(m != 7).groupBy(F.concat(F.lit("M"), m.cast("string")).alias("symbol")).agg((F.max("o_orderkey") % 400).cast("double").alias("size"))
+    return src.table(spark, sf, "orders").groupBy(F.concat(F.when(m == 7, "X").otherwise("M"), m.cast("string")).alias("symbol")).agg((F.max("o_orderkey") % 400).cast("double").alias("size"))
 
 
 def local(spark, sf):
     p = F.col("l_partkey") % 50
-    return src.table(spark, sf, "lineitem").where(p != 9).groupBy(F.concat(F.lit("M"), p.cast("string")).alias("symbol")).agg((F.max("l_orderkey") % 400).cast("double").alias("size"))
+    return src.table(spark, sf, "lineitem").groupBy(F.concat(F.when(p == 9, "L").otherwise("M"), p.cast("string")).alias("symbol")).agg((F.max("l_orderkey") % 400).cast("double").alias("size"))
 
 
-LOCAL_SQL = "local AS (SELECT 'M' || (l_partkey % 50) AS symbol, (max(l_orderkey) % 400)::DOUBLE AS size FROM lineitem WHERE l_partkey % 50 <> 9 GROUP BY 1)"
+LOCAL_SQL = "local AS (SELECT CASE WHEN l_partkey % 50 = 9 THEN 'L' ELSE 'M' END || (l_partkey % 50) AS symbol, (max(l_orderkey) % 400)::DOUBLE AS size FROM lineitem GROUP BY 1)"
 
 
 @query("position_arbitration", f"""WITH {OPEN_SQL}, {POS_SQL}, {LOCAL_SQL}, p AS (SELECT e.symbol, e.size - coalesce(l.size, 0) / 2 AS surplus FROM exch e LEFT JOIN local l USING (symbol)),

@@ -118,15 +118,17 @@ def ofi_pulse(tape: DataFrame, *, bucket_us: int = 60_000_000, history: int = 60
     """Order flow of the current bucket far above the median of earlier buckets.
 
     The prior median is fixed for the whole bucket, so it is computed once per
-    bucket; ticks carry the running flow of their bucket.
+    bucket.  A bucket's running flow never exceeds its gross value, so only
+    ticks of buckets whose gross value could reach the bound are ever scanned.
     """
     signed = F.when(F.col("side") == "Sell", -F.col("notional")).otherwise(F.col("notional"))
     keyed = tape.withColumn("bucket_us", F.col("ts_us") - F.pmod("ts_us", F.lit(bucket_us)))
     medians = prior_medians(ofi_buckets(tape, bucket_us), history).where(F.col("bucket_idx") >= min_history)
-    flow = running(keyed.select("symbol", "bucket_us", "ts_us", "trade_id", "price", signed.alias("signed")),
-                   ["symbol", "bucket_us"], ["ts_us", "trade_id"], {"ofi": ("sum", F.col("signed"))}, n=n) \
-        .where(F.abs("ofi") >= min_notional)
-    hit = flow.join(medians, ["symbol", "bucket_us"])
+    need = F.greatest(F.lit(min_notional), F.when(F.col("median_abs") > 0, F.col("median_abs") * k).otherwise(F.lit(5 * min_notional)))
+    gross = keyed.groupBy("symbol", "bucket_us").agg(F.sum("notional").alias("gross")).where(F.col("gross") >= min_notional)
+    live = gross.join(medians, ["symbol", "bucket_us"]).where(F.col("gross") >= need).select("symbol", "bucket_us", "median_abs")
+    ticks = lookup(keyed.select("symbol", "bucket_us", "ts_us", "trade_id", "price", signed.alias("signed")), live, ["symbol", "bucket_us"], "inner")
+    hit = running(ticks, ["symbol", "bucket_us"], ["ts_us", "trade_id"], {"ofi": ("sum", F.col("signed"))}, n=n).where(F.abs("ofi") >= min_notional)
     size = F.abs("ofi")
     ratio = F.when(F.col("median_abs") > 0, size / F.col("median_abs")).otherwise(F.lit(float("inf")))
     cand = hit.where(F.when(F.col("median_abs") > 0, size / F.col("median_abs") >= k).otherwise(size >= 5 * min_notional)) \

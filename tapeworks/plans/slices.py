@@ -52,6 +52,13 @@ def slice_count(df: DataFrame) -> int:
     return min(MAX_SLICES, max(n, -(-file_bytes // TARGET_SLICE_BYTES)))
 
 
+def slices_of(df: DataFrame) -> int:
+    """Number of slices of a frame that ``slice_rows`` made: the partitions of its checkpoint."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    kinds = [leaves.apply(i) for i in range(leaves.size())]
+    return max([x.rdd().getNumPartitions() for x in kinds if x.getClass().getSimpleName() == "LogicalRDD"], default=1)
+
+
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None,
                freeze: bool = False) -> DataFrame:
     """Cut ``df`` into ordered slices of similar size; adds the slice number.
@@ -124,7 +131,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                        for name, spec in specs.items()])
              .where("_nth > 1").drop("_nth"))
 
-    out = sliced.withColumns({
+    # one task a slice, however many shuffle partitions the session has; the totals above are summed before they move
+    out = sliced.repartitionById(slices_of(sliced), F.col(SLICE)).withColumns({
         f"_l_{name}": _WINDOW_AGG[spec[0]](F.col(f"_in_{name}")).over(before if "exclusive" in spec[2:] else upto)
         for name, spec in specs.items()})
     out = out.join(F.broadcast(carry), [SLICE, *keys], "left")

@@ -15,6 +15,7 @@ import pandas as pd
 
 from tapeworks.operators.bars import bar_ends, partial_bars
 from tapeworks.operators.detectors import sweep_step
+from tapeworks.operators.vpin import HOUR_US
 
 OUT = ("kind STRING, ts_us BIGINT, ref_id BIGINT, direction STRING, open BIGINT, price BIGINT, notional BIGINT, "
        "vpin DOUBLE, z_score DOUBLE, absorption BOOLEAN")
@@ -32,6 +33,8 @@ class RadarParams:
     large: dict = field(default_factory=dict)
     ofi: dict = field(default_factory=dict)
     liquidity_cooldown_us: int | None = None
+    decay_gap_us: int | None = None
+    tau_hours: float = 4.0
 
 
 def fresh_state() -> dict:
@@ -61,7 +64,12 @@ def closed_bars(state: dict, rows: pd.DataFrame, threshold: int) -> list[dict]:
 
 
 def score(state: dict, bar: dict, p: RadarParams) -> tuple[float, float] | None:
-    """vpin and z of a closed bar; None during warm-up."""
+    """vpin and z of a closed bar; None during warm-up.  A silence over ``decay_gap_us`` before the bar fades both histories."""
+    silence = bar["end_us"] - state["closed_us"] if state.get("closed_us") is not None else 0
+    state["closed_us"] = bar["end_us"]
+    if p.decay_gap_us is not None and silence > p.decay_gap_us:
+        left = math.exp(-silence / (HOUR_US * max(p.tau_hours, 1.0)))
+        state["imb"], state["vpins"] = [x * left for x in state["imb"]], [x * left for x in state["vpins"]]
     state["imb"] = (state["imb"] + [abs(bar["buy_notional"] - bar["sell_notional"])])[-p.window:]
     state["closes"] = (state["closes"] + [bar["close"]])[-p.window:]
     if len(state["imb"]) < p.window:

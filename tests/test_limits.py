@@ -3,8 +3,8 @@
 import pandas as pd
 import pytest
 
-from tapeworks.operators import book, labels
-from tapeworks.streaming.steps import RadarParams, fresh_state, radar_step
+from tapeworks.operators import book, labels, vpin
+from tapeworks.streaming.steps import RadarParams, fresh_state, radar_step, score
 
 UPDATE = ("symbol string, ts_us long, msg_id long, type string, u long, first_u long, seq long, "
           "bids array<struct<price: bigint, qty: bigint>>, asks array<struct<price: bigint, qty: bigint>>")
@@ -64,3 +64,20 @@ def test_threshold_of_the_tick():
     params = RadarParams(threshold=10**9, window=2)
     state, _ = radar_step(params, fresh_state(), pd.DataFrame([tick(k, k, threshold=25) for k in range(1, 10)]))
     assert state["bars"] == 3 and state["filled"] == 0
+
+
+def test_live_decay_equals_batch(spark):
+    """The same bars, some after long silences, scored one by one and as a table."""
+    hour = 3_600_000_000
+    bars, ts = [], 0
+    for i in range(40):
+        ts += hour // 10 if i % 9 else 3 * hour
+        buy = (i * 37) % 100
+        bars.append({"symbol": "A", "bar_idx": i, "buy_notional": buy, "sell_notional": 100 - buy, "notional": 100, "open": 10, "close": 10 + i % 3, "end_us": ts})
+    params = RadarParams(threshold=100, window=5, z_history=12, decay_gap_us=hour, tau_hours=2.0)
+    state = fresh_state()
+    live = [score(state, b, params) for b in bars]
+    batch = vpin.vpin_signals(spark.createDataFrame(bars), window=5, base_threshold=100, z_history=12, decay_gap_us=hour, tau_hours=2.0).orderBy("bar_idx").collect()
+    assert live[:4] == [None] * 4 and len(batch) == 36
+    for (v, z), row in zip(live[4:], batch, strict=True):
+        assert abs(v - row.vpin) < 1e-9 and abs(z - row.z_score) < 1e-6
