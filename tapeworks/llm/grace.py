@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeworks.llm.shared import folder
+from tapeworks.llm.shared import folder, stored
 
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 TABLE_BYTES = 32 << 20
@@ -108,9 +108,8 @@ def _batches(records, schema: pa.Schema):
         yield pa.RecordBatch.from_pylist(part, schema)
 
 
-def spill(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """All records of ``df`` after its reading tasks merged what they could, stored; and every row's key (kind ``member``)."""
-    spark = df.sparkSession
+def combined(df: DataFrame, id: str, text: str, table_bytes: int, members: bool) -> DataFrame:
+    """All records of ``df`` after its reading tasks merged what they could; with ``members`` also every row's key."""
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(id).cast("long").alias("id"), F.monotonically_increasing_id().alias("number"))
     schema = T._parse_datatype_string(FIELDS).add("row", row.schema["row"].dataType)
     arrow = to_arrow_schema(schema)
@@ -122,20 +121,22 @@ def spill(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: in
             for x in batch.to_pylist():
                 content = content_of(x["row"][text])
                 key = {"digest": hashlib.sha256(content).digest(), "chars": len(x["row"][text] or ""), "id": x["id"], "number": x["number"], "copies": 1}
-                out.append(key | {"kind": MEMBER, "bytes": 0, "row": None})
+                if members:
+                    out.append(key | {"kind": MEMBER, "bytes": 0, "row": None})
                 record = key | {"kind": OPEN, "bytes": len(content), "row": x["row"]}
                 if not table.add(record, content):
                     out.append(record)
             yield from _batches(out, arrow)
         yield from _batches(table.records, arrow)
 
-    path = folder(spark, "grace")
-    row.mapInArrow(read, schema).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return row.mapInArrow(read, schema)
 
 
-def settle(spilled: DataFrame, text: str = "text", table_bytes: int = TABLE_BYTES, rows: bool = True) -> DataFrame:
-    """One record for each content: (digest, chars, id, number, copies[, row]) of the row that stays."""
+def settle(spilled: DataFrame, text: str = "text", table_bytes: int = TABLE_BYTES, rows: bool = True, size: int | None = None) -> DataFrame:
+    """One record for each content: (digest, chars, id, number, copies[, row]) of the row that stays.
+
+    ``size`` bounds the bytes of ``spilled`` where they are known already.
+    """
     spark, schema = spilled.sparkSession, spilled.schema
     arrow = to_arrow_schema(schema)
 
@@ -150,26 +151,27 @@ def settle(spilled: DataFrame, text: str = "text", table_bytes: int = TABLE_BYTE
         yield from _batches((r | {"kind": WHOLE, "row": r["row"] if rows else None} for r in table.records), arrow)
 
     records, done, level = spilled.where(F.col("kind") == OPEN), None, 0
-    while total := records.agg(F.sum(F.col("bytes") + 200)).first()[0]:
+    while total := size if size is not None and not level else records.agg(F.sum(F.col("bytes") + 200)).first()[0]:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // table_bytes))
         path = folder(spark, f"grace-level-{level}")
         dealt = records.repartition(buckets, F.xxhash64("digest", F.lit(level)))
         dealt.mapInArrow(bucket, schema).write.option("compression", "zstd").parquet(path)
-        stored = spark.read.schema(schema).parquet(path)
-        settled = stored.where(F.col("kind") == WHOLE)
+        held = spark.read.schema(schema).parquet(path)
+        settled = held.where(F.col("kind") == WHOLE)
         done = settled if done is None else done.unionByName(settled)
-        records, level = stored.where(F.col("kind") == OPEN), level + 1
+        records, level = held.where(F.col("kind") == OPEN), level + 1
     return (spilled.where(F.lit(False)) if done is None else done).drop("kind", "bytes")
 
 
 def survivors(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """``df`` without its copies: one row of each content."""
-    return settle(spill(df, id, text, table_bytes), text, table_bytes).select("row.*")
+    size = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 200)).first()[0] or 0
+    return settle(combined(df, id, text, table_bytes, False), text, table_bytes, size=size).select("row.*")
 
 
 def classes(df: DataFrame, id: str = "doc_id", text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(id, digest, keep_id, group_size, kept) for every row of ``df``."""
-    spilled = spill(df.select(id, text), id, text, table_bytes)
+    spilled = stored(combined(df.select(id, text), id, text, table_bytes, True), "grace")
     winners = settle(spilled, text, table_bytes, rows=False).select("digest", F.col("id").alias("keep_id"), F.col("number").alias("keep_number"), F.col("copies").alias("group_size"))
     members = spilled.where(F.col("kind") == MEMBER).select("digest", "id", "number")
     return members.join(winners, "digest").select("id", "digest", "keep_id", "group_size", (F.col("number") == F.col("keep_number")).alias("kept"))
