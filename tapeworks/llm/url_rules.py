@@ -2,10 +2,12 @@
 
 A url becomes a set of tokens (scheme, host labels, path words with digits folded, file
 ending, query keys, fragment).  The urls that the list decides are labelled transactions.
-Spark's FP-growth mines the token combinations that go with a verdict; rules are pruned by
-support, confidence, lift and size, and a rule is dropped if a shorter one that it contains
-is at least as sure.  The rules are matched by an inverted index: each is filed under the
-rarest of its tokens, a url looks up its own tokens only and checks the rules found there.
+Spark's FP-growth mines the token combinations that go with a verdict; support and confidence
+decide which are rules, however long or common, and a rule is dropped only if a shorter one of
+the same verdict that it contains is at least as sure.  That is found level by level: a set
+takes over the surest confidence within the sets that are one token shorter.  The rules are
+matched by an inverted index: each is filed under the rarest of its tokens, a url looks up its
+own tokens only and checks the rules found there.
 
 Urls repeat the same token sets, so sets are matched once and the verdict is joined back.
 The number of rules is bounded by the support (a share of the transactions), not by the data.
@@ -60,20 +62,35 @@ def tokens(url: Column, host: Column, path: Column, more: Column) -> Column:
     return F.when(host != "", F.array_sort(F.array_distinct(F.concat(scheme, named("host", labels), named("path", words), named("key", keys), mark)))).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9, max_tokens: int = 3, min_lift: float = 1.05) -> DataFrame:
+def unimplied(found: DataFrame) -> DataFrame:
+    """The rows of ``found`` (tokens, verdict, confidence, support) that are surer than every shorter one of their verdict within them.
+
+    All parts of a row must be rows too, as those of a frequent set are: then a part of any size
+    is reached over parts that are one token shorter.
+    """
+    longest = found.agg(F.max(F.size("tokens"))).first()[0] or 0
+    kept = level = found.where(F.size("tokens") == 1).withColumn("sure", F.col("confidence"))
+    for size in range(2, longest + 1):
+        part = found.where(F.size("tokens") == size).select("tokens", "verdict", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"))
+        less = level.select(F.col("tokens").alias("part"), "verdict", "sure")
+        within = part.join(less, ["part", "verdict"]).groupBy("tokens", "verdict").agg(F.max("sure").alias("within"))
+        level = stored(found.join(within, ["tokens", "verdict"]).withColumn("sure", F.greatest("confidence", "within")), "url_rules_level")
+        kept = kept.unionByName(level.where(F.col("confidence") > F.col("within")).drop("within"))
+    return kept.drop("sure")
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.9) -> DataFrame:
     """Rules (rule, tokens, verdict, confidence, support, key) from (tokens, verdict); ``key`` is the rarest token."""
     items = labelled.select(F.array_append("tokens", F.concat(F.lit(VERDICT), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    said = F.col("consequent")[0]
-    found = stored(model.associationRules.where(F.startswith(said, F.lit(VERDICT)) & (F.col("lift") >= min_lift) & (F.size("antecedent") <= max_tokens))
-                   .select(F.array_sort("antecedent").alias("tokens"), F.substring(said, len(VERDICT) + 1, 100).alias("verdict"), "confidence", "support"), "mined")
-    token = found.select("*", F.explode("tokens").alias("token"))
-    # shorter rules with the same verdict that a rule contains, found over a shared token
-    less = token.select(F.col("token"), F.col("verdict"), F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    implied = (token.join(less, ["token", "verdict"]).where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence")))
-               .select("tokens", "verdict").distinct())
-    kept = found.join(implied, ["tokens", "verdict"], "left_anti")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
+    urls = items.count()
+    # the rules are read off the sets: those below the confidence are needed too, to find what a rule contains
+    sets = stored(FPGrowth(itemsCol="items", minSupport=min_support).fit(items).freqItemsets, "frequent")
+    is_verdict = lambda x: F.startswith(x, F.lit(VERDICT))
+    split = stored(sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.substring(F.get(F.filter("items", is_verdict), F.lit(0)), len(VERDICT) + 1, 100).alias("verdict"), "freq").where(F.size("tokens") > 0), "split")
+    alone = split.where("verdict IS NULL").select("tokens", F.col("freq").alias("all"))
+    found = stored(split.where("verdict IS NOT NULL").join(alone, "tokens").select("tokens", "verdict", (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / F.lit(urls)).alias("support")), "mined")
+    kept = unimplied(found).where(F.col("confidence") >= min_confidence)
+    single = alone.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("all").alias("freq"))
     rarest = (kept.select("*", F.explode("tokens").alias("token")).join(single, "token")
               .groupBy("tokens", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key")))
     return stored(rarest.withColumn("rule", F.array_join("tokens", " ")), "url_rules")

@@ -1,3 +1,9 @@
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
 from tapeworks.llm import chat, url_rules
 from tapeworks.llm.queries import QUERIES, URL_RULES
 
@@ -73,3 +79,46 @@ def test_mined_rules_decide(spark):
     assert {tuple(r.tokens): r.verdict for r in found}[("path:ads",)] == "block"
     assert all(r.confidence >= 0.9 and r.key in r.tokens for r in found)
     assert not [r for r in found if len(r.tokens) > 1 and ("path:ads" in r.tokens or "path:news" in r.tokens)]  # a shorter rule is as sure
+
+
+def brute_rules(rows, min_support, min_confidence):
+    """Every rule, and of those only the ones that no shorter one within them equals or beats."""
+    seen, said = Counter(), Counter()
+    for verdict, tokens in rows:
+        for k in range(1, len(tokens) + 1):
+            for part in combinations(sorted(tokens), k):
+                seen[part] += 1
+                said[part, verdict] += 1
+    sure = {(t, v): n / seen[t] for (t, v), n in said.items() if n >= min_support * len(rows)}
+    implied = lambda t, v, c: any(sure[p, v] >= c for k in range(1, len(t)) for p in combinations(t, k))
+    return {(t, v): c for (t, v), c in sure.items() if c >= min_confidence and not implied(t, v, c)}
+
+
+@pytest.mark.parametrize("much", ["allow", "block"])
+def test_one_sided_list(spark, much):
+    """97 of 100 decided urls have one verdict; its rules stay, up to any number of tokens."""
+    rnd, few = np.random.default_rng(5), "block" if much == "allow" else "allow"
+    rows = []
+    for k in range(3000):
+        tokens = [f"t{i}" for i in range(6) if rnd.random() < 0.7] + [f"host:h{k % 3}"]
+        rows.append((few if {"t0", "t1", "t2", "t3"} <= set(tokens) and rnd.random() < 0.12 or rnd.random() < 0.002 else much, tokens))
+    # four tokens of which any three are undecided: only all four make a rule for the rarer verdict
+    four = ["a", "b", "c", "d"]
+    rows += [(few, four)] * 12 + [(much, [t for t in four if t != gone]) for gone in four for _ in range(12)]
+    assert sum(v == much for v, _ in rows) / len(rows) > 0.952
+    found = url_rules.mine(spark.createDataFrame(rows, "verdict string, tokens array<string>")).collect()
+    want = brute_rules(rows, 0.002, 0.9)
+    assert {(tuple(r.tokens), r.verdict): r.confidence for r in found} == want
+    assert any(v == much for _, v in want) and (tuple(four), few) in want
+
+
+@pytest.mark.parametrize("much", ["allow", "block"])
+def test_one_sided_verdicts(spark, much):
+    """The surer rule of the common verdict outranks a less sure one of the rarer, and undecided urls do not fall to the default."""
+    few = "block" if much == "allow" else "allow"
+    listed = [(much, "good.org", "/"), (few, "bad.org", "/")]
+    urls = [f"http://good.org/news/{k}" for k in range(1000)] + [f"http://good.org/sale/{k}" for k in range(200)] + [f"http://bad.org/hot/{k}" for k in range(36)] + ["http://good.org/sale/hot/0"] * 3
+    urls += ["http://else.net/news/1", "http://else.net/sale/hot/2", "http://bad.else.net/hot/3"]
+    out = url_rules.judge(spark.createDataFrame([(u,) for u in urls], "url string"), listed, default=few).collect()
+    assert 0.96 < sum(r.verdict == much for r in out if r.rule) / sum(r.rule is not None for r in out) < 0.98
+    assert {r.url: r.verdict for r in out if r.rule is None} == {"http://else.net/news/1": much, "http://else.net/sale/hot/2": much, "http://bad.else.net/hot/3": few}
