@@ -4,7 +4,9 @@ A document's set is that of its five-word shingles.  Its sketch has M registers;
 the smallest of M-fold exponential hashes of its shingles on an exponential scale, truncated to
 16 bits.  Sketches merge by maxima, and two registers agree with about the probability of the
 sets' Jaccard similarity.  A shingle's values come in ascending order over a permutation of the
-registers, so most shingles stop after the first that cannot lower any register.
+registers, so most shingles stop after the first that cannot lower any register.  The permutation
+is a fixed shuffle between two strides of the shingle's own: a single stride would spread the
+values of one shingle evenly over the bands, and break all of them in texts of few shingles.
 
 1. Equal sets are one node (its smallest id).  2. Bands of registers give buckets.  3. Every node
 is compared with the smallest node of its buckets: first with the one it shares most buckets
@@ -15,8 +17,10 @@ that could reach the threshold are counted on hashed sets, and the links go on.
 So a group of thousands of copies costs about a comparison a member, and no link that would join
 two components is left out.
 
-Bands: a pair at the threshold of 0.75 shares no bucket with a probability of 2e-6; pairs are put
-aside unseen when their estimate is five standard errors below the threshold.
+Bands: with independent registers a pair at the threshold of 0.75 would share no bucket with a
+probability of 2e-6.  Drawn at random, 13 of 3,200,000 pairs of 3 and 4 shingles (4e-6) and 1 of
+400,000 pairs of 6 and 8 did not.  Pairs are put aside unseen when their estimate is five standard
+errors below the threshold.
 
 Defined cases: texts without words have an empty set and are linked with nothing; texts with
 fewer words than a shingle are one shingle; A-Z are lower-cased, words are runs of other
@@ -76,6 +80,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+SHUFFLE = np.argsort(mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)))
+
+
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
@@ -103,18 +110,19 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     if not sets:
         return least.astype(np.uint16)
     e, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at, stride = (mix(e ^ np.uint64(1)) % np.uint64(REGISTERS)).astype(np.int64), (mix(e ^ np.uint64(2)) % np.uint64(REGISTERS - 1)).astype(np.int64) + 1
+    draw = lambda k, n: (mix(e ^ np.uint64(k)) % np.uint64(n)).astype(np.int64)
+    at, stride, shift, turn = draw(1, REGISTERS), draw(2, REGISTERS - 1) + 1, draw(3, REGISTERS), draw(4, REGISTERS - 1) + 1
     x = np.zeros(len(e))
     for j in range(REGISTERS):
         e = mix(e + np.uint64(0x9E3779B97F4A7C15))
         x = x - np.log(((e >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (RATE * (REGISTERS - j))
-        np.minimum.at(least.ravel(), own * REGISTERS + at, x)
+        np.minimum.at(least.ravel(), own * REGISTERS + (shift + turn * SHUFFLE[at]) % REGISTERS, x)
         at = (at + stride) % REGISTERS
         if j < 4 or j % 8 == 0:
             on = x < least.max(1)[own]
             if not on.any():
                 break
-            e, own, at, stride, x = e[on], own[on], at[on], stride[on], x[on]
+            e, own, at, stride, shift, turn, x = e[on], own[on], at[on], stride[on], shift[on], turn[on], x[on]
     with np.errstate(divide="ignore"):
         return np.clip(np.floor(1 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
