@@ -91,6 +91,11 @@ class Hashes(dict):
         return found
 
 
+def digest_of(hashes: np.ndarray) -> bytes | None:
+    """The name of a set; an empty one has none."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def hashed(text: str | None, known: Hashes) -> np.ndarray:
     """Sorted distinct hashes of the shingles."""
     words = words_of(text)
@@ -151,7 +156,7 @@ def sketched(df: DataFrame, id: str, text: str) -> DataFrame:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
                 sets = [hashed(t, known) for t in batch.column("text").to_pylist()]
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                digests = [digest_of(s) for s in sets]
                 if len(seen) > CACHED_WORDS:
                     seen.clear()
                 new = []
@@ -235,15 +240,27 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def short_sets(texts: DataFrame) -> DataFrame:
-    """(id, hashes) with 32-bit hashes of a text's shingles: small enough to travel with every bucket."""
+    """(digest, hashes) with 32-bit hashes of a text's shingles: small enough to travel with every bucket."""
     def run(batches):
         known = Hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(at, BATCH_ROWS)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.unique((hashed(t, known) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["id", "hashes"])
+                sets = [hashed(t, known) for t in whole.slice(at, BATCH_ROWS).column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], ["digest", "hashes"])
+
+    return stored(texts.select("text").mapInArrow(run, "digest binary, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes")), "short_sets")
+
+
+def several(every: DataFrame) -> DataFrame:
+    """(id) of the ids whose rows have several sets, an empty one counting too."""
+    many = every.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("digest").alias("with"), F.count("*").alias("rows"))
+    return stored(many.where("low <> high OR `with` > 0 AND `with` < rows").select("id"), "several")
+
 
-    return stored(texts.select("id", "text").mapInArrow(run, "id long, hashes binary").groupBy("id").agg(F.max("hashes").alias("hashes")), "short_sets")
+def ties(every: DataFrame, nodes: DataFrame, many: DataFrame) -> DataFrame:
+    """(a, b) that tie the nodes of each id b of ``many``; it may be no node itself, its sets being those of smaller ids."""
+    of = every.join(small_side(many), "id").where(F.col("digest").isNotNull()).select("id", "digest").distinct()
+    return stored(of.join(nodes.select("digest", F.col("id").alias("node")), "digest").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b")).distinct(), "ties")
 
 
 def leftovers(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,7 +277,7 @@ def leftovers(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFram
     placed = members.join(wide, ["bucket", "label"]).join(few, "bucket", "left")
     home = F.when(F.col("alone"), F.col("label"))
     nth = F.pmod(F.xxhash64("id"), F.ceil(F.when(F.col("alone"), F.col("many")).otherwise(F.col("others")) / BLOCK))
-    rows = placed.select("bucket", home.alias("home"), nth.alias("nth"), "id", "label").join(nodes.select("id", "n", "registers").join(sets, "id"), "id")
+    rows = placed.select("bucket", home.alias("home"), nth.alias("nth"), "id", "label").join(nodes.select("id", "n", "digest", "registers").join(sets, "digest"), "id")
     blocks = stored(rows.groupBy("bucket", "home", "nth").agg(F.collect_list(F.struct("id", "label", "n", "registers", "hashes")).alias("rows")), "blocks")
     other = blocks.select("bucket", F.col("home").alias("home2"), F.col("nth").alias("nth2"), F.col("rows").alias("rows2"))
     rank = lambda a, b: F.struct(F.coalesce(F.col(a), F.lit(LEAST)), F.col(b))
@@ -321,17 +338,22 @@ def grouped(df: DataFrame, id: str, text: str) -> DataFrame:
     named = lambda rows, key, name: rows.join(label.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
     apart = named(named(shared.select(F.col("top").alias("a"), F.col("id").alias("b")), "a", "la"), "b", "lb").where("la <> lb").select("a", "b")
     links = links.unionByName(verified(apart, texts))
-    label = components(links)
+    many = several(every)
+    tied = ties(every, nodes, many)
+    label = components(links.unionByName(tied))
     placed = stored(named(members.select("bucket", "id"), "id", "label"), "labelled")
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     still = stored(placed.join(split, "bucket"), "open")
     held = texts.join(small_side(stored(still.select("id").distinct(), "held")), "id")
     rest = leftovers(still, nodes, short_sets(held))
-    label = components(links.unionByName(verified(rest, texts)))
+    label = components(links.unionByName(verified(rest, texts)).unionByName(tied))
     of = nodes.select("digest", F.col("id").alias("node"))
     linked_to = of.join(label.select(F.col("id").alias("node"), "component"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     full = every.select("id", "n", "digest").join(linked_to, "digest", "left")
-    return full.select("id", "n", F.coalesce("component", "id").alias("component"))
+    # rows without words go with their id where it has other texts
+    by_id = label.join(small_side(many), "id").select("id", F.col("component").alias("own"))
+    full = full.join(small_side(stored(by_id, "several_of")), "id", "left")
+    return full.select("id", "n", F.coalesce("component", "own", "id").alias("component"))
 
 
 def classes(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -123,3 +123,21 @@ def test_short_sets_share_bands():
         r = near_dedup.sketches([x[:3] for x in e] + list(e))[:, :size].reshape(2, 1000, near_dedup.BANDS, near_dedup.ROWS)
         missed += int((~(r[0] == r[1]).all(2).any(1)).sum())
     assert missed <= 2
+
+
+def test_near_shared_ids(spark):
+    """Rows that share an id are one node: its component is that of all its texts, and a link of any of them counts."""
+    text = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("b") + " more"), (5, ""), (8, ""), (9, text("c")), (10, text("d")), (10, text("e")), (11, text("e")), (20, ""), (20, text("c") + " more"), (None, text("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.id, r.n_shingles): r.component_id for r in near_dedup.classes(df).collect()}
+    assert got == {(1, 36): 1, (5, 36): 1, (7, 37): 1, (5, 0): 1, (8, 0): 8, (9, 36): 9, (10, 36): 10, (11, 36): 10, (20, 0): 9, (20, 37): 9, (None, 36): 10}
+    assert sorted(r.doc_id for r in near_dedup.survivors(df).collect()) == [1, 8, 9, 10, 10]
+
+
+def test_near_pairs_take_their_own_sets(spark):
+    """Where an id has two texts, the pairs of a bucket are counted on the set of the text that is in it."""
+    sets = [near_dedup.hashed(t, near_dedup.Hashes()) for t in (" ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60)))]
+    texts = spark.createDataFrame([(3, " ".join(f"{c}{k}" for k in range(60))) for c in "xy"], "id long, text string")
+    found = {bytes(r.digest): r.hashes for r in near_dedup.short_sets(texts).collect()}
+    assert found == {near_dedup.digest_of(s): np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets}
