@@ -56,7 +56,7 @@ def slices_of(df: DataFrame) -> int:
     """Number of slices of a frame that ``slice_rows`` made: the partitions of its checkpoint."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     kinds = [leaves.apply(i) for i in range(leaves.size())]
-    return max([x.rdd().getNumPartitions() for x in kinds if x.getClass().getSimpleName() == "LogicalRDD"], default=1)
+    return max([1, *(x.rdd().getNumPartitions() for x in kinds if x.getClass().getSimpleName() == "LogicalRDD")])  # an empty store has no partitions
 
 
 def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None = None,
