@@ -6,13 +6,15 @@ Each query applies its operator to whole tables and derives the columns it retur
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, chat, grace, mixing, near_dedup, neighbours, quality, sharding, toxicity, url_rules
+from tapeworks.llm import bpe, chat, grace, mixing, near_dedup, neighbours, prefix_trie, quality, sharding, token_counts, toxicity, url_rules
+from tapeworks.llm.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +146,36 @@ def op8_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of near-duplicates it belongs to."""
     found = near_dedup.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+CRC = r"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(S)), lambda k: ('0x' || substr(hex(encode(S)), 2 * k + 1, 2))::BIGINT)),
+ lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+@query("op11_prefix_trie", """WITH t AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+i AS (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM t),
+h AS (SELECT conv_id, own, """ + CRC.replace("S)", "s)") + """ % 6 AS h FROM i),
+c AS (SELECT h.conv_id, list_concat(coalesce(l.own, [])[1:h], h.own[h + 1:]) AS turns FROM h LEFT JOIN t l ON l.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM c),
+n AS (SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CASE WHEN len(turns) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends
+  FROM p GROUP BY ALL),
+k AS (SELECT a.path, count(b.path) AS n_children FROM n a LEFT JOIN n b ON b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path GROUP BY a.path),
+s AS (SELECT a.path, sum((b.n_convs - 1) * CASE WHEN b.depth = 0 THEN 0 ELSE length(b.path[b.depth].text) END) AS saved_tokens, count(*) FILTER (k.n_children = 0) AS n_leaves
+  FROM n a JOIN n b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path JOIN k ON k.path = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, k.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN k ON k.path = n.path JOIN s ON s.path = n.path LEFT JOIN n u ON u.depth = n.depth - 1 AND u.path = n.path[1:n.depth - 1] AND n.depth > 0""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    given = prefix_trie.sequences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    nodes, ends = prefix_trie.trie(prefix_trie.rebuilt(stored(given, "sequences")))
+    none = hashlib.sha256().hexdigest()
+    return nodes.join(prefix_trie.end_digests(ends), ["conv_id", "depth"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(none)))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Tokens of every document, and whether they exceed 4,096."""
+    model = token_counts.read_model(model_path or public_tokenizers.path("piece_bpe_32k.model"))
+    counted = token_counts.count(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)

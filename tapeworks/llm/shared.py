@@ -24,6 +24,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small_side(df: DataFrame, *texts: str, max_bytes: int = 32 << 20) -> DataFrame:
     """A stored side of a join, marked for broadcast if it is at most ``max_bytes``; a larger one takes a shuffle join."""
-    width = 8 * len(df.columns) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    width = 40 + 8 * len(df.columns) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
     size = df.agg(F.sum(width.cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= max_bytes else df

@@ -12,5 +12,5 @@ def test_matches_sql(spark, sf, name):
     assert verdict.startswith("ok"), verdict
 
 
-def test_ten_operators():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
