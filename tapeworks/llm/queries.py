@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import bpe, chat, grace, mixing, near_dedup, neighbours, prefix_trie, quality, sharding, token_counts, toxicity, url_rules
+from tapeworks.llm import bpe, chat, grace, mixing, near_dedup, neighbours, prefix_trie, quality, sharding, spelling, token_counts, toxicity, url_rules
 from tapeworks.llm.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,23 @@ def op12_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
     model = token_counts.read_model(model_path or public_tokenizers.path("piece_bpe_32k.model"))
     counted = token_counts.count(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op13_spelling_variants", r"""WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{6,}')) AS run FROM documents),
+c AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM d GROUP BY ALL),
+s AS (SELECT run, k, id || ':' || run AS s FROM c),
+h AS (SELECT run, k, """ + CRC.replace("S)", "s)") + r""" AS h FROM s),
+r AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS at FROM v),
+x AS (SELECT word, n, substr(word, 1, at - 1) || '*' || substr(word, at + 1) AS masked, substr(word, 1, at - 1) || substr(word, at + 1) AS without FROM e),
+p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.without = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.without = b.word),
+b AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, near := near)) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * v.n THEN best.near END AS form, CASE WHEN -best.less >= 5 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS root, form AS up FROM f UNION ALL SELECT w.word, f.word, f.form FROM w JOIN f ON f.word = w.up)
+SELECT f.word, f.form, w.root, f.n, f.n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f JOIN w ON w.word = f.word AND w.up IS NULL""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with the more frequent word it may be a misspelling of."""
+    words = stored(spelling.counted(table(spark, sf_dir, "documents")), "words")
+    return spelling.variants(words)
