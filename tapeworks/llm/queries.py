@@ -187,8 +187,8 @@ s AS (SELECT run, k, id || ':' || run AS s FROM c),
 h AS (SELECT run, k, """ + CRC.replace("S)", "s)") + r""" AS h FROM s),
 r AS (SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
 v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
-e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS at FROM v),
-x AS (SELECT word, n, substr(word, 1, at - 1) || '*' || substr(word, at + 1) AS masked, substr(word, 1, at - 1) || substr(word, at + 1) AS without FROM e),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot FROM v),
+x AS (SELECT word, n, substr(word, 1, spot - 1) || '*' || substr(word, spot + 1) AS masked, substr(word, 1, spot - 1) || substr(word, spot + 1) AS without FROM e),
 p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.masked = b.masked AND a.word <> b.word
   UNION SELECT a.word, b.word, b.n FROM x a JOIN v b ON a.without = b.word UNION SELECT b.word, a.word, a.n FROM x a JOIN v b ON a.without = b.word),
 b AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, near := near)) AS best FROM p GROUP BY word),
