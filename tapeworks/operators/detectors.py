@@ -63,13 +63,21 @@ def _direction() -> Column:
 def sweep(tape: DataFrame, *, min_trades: int = 5, window_us: int = 30_000_000, min_notional: int = 100_000,
           cooldown_us: int = 60_000_000, n: int | None = None) -> DataFrame:
     """Runs of aggressive trades on one side, inside a window, worth at least a floor."""
+    return sweeps_from(tape.withColumn("_start", F.lit(None).cast("string")), "_start", min_trades=min_trades, window_us=window_us,
+                       min_notional=min_notional, cooldown_us=cooldown_us, n=n)
+
+
+def sweeps_from(tape: DataFrame, start: str, *, min_trades: int, window_us: int, min_notional: int, cooldown_us: int, n: int | None = None,
+                states: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """``sweep`` that goes on from the state in column ``start``; with ``states`` also what every symbol is left in."""
     if min_trades < 2:
         raise ValueError("min_trades must be >= 2")
-    hits = fold(tape.select("symbol", "ts_us", "trade_id", "price", "notional", "side"), ["symbol"], ["ts_us", "trade_id"],
+    made = fold(tape.select("symbol", "ts_us", "trade_id", "price", "notional", "side", start), ["symbol"], ["ts_us", "trade_id"],
                 sweep_step(min_trades, window_us, min_notional, cooldown_us), [None, None, 0, 0, 0],
-                "ts_us BIGINT, trade_id BIGINT, side STRING, price BIGINT, notional BIGINT, trade_count BIGINT, duration_us BIGINT", n=n)
-    return hits.select("symbol", "ts_us", "trade_id", F.lit("SWEEP").alias("kind"), _direction(), "price", "notional",
-                       "trade_count", "duration_us")
+                "ts_us BIGINT, trade_id BIGINT, side STRING, price BIGINT, notional BIGINT, trade_count BIGINT, duration_us BIGINT", n=n, start=start, states=states)
+    hits, left = made if states else (made, None)
+    hits = hits.select("symbol", "ts_us", "trade_id", F.lit("SWEEP").alias("kind"), _direction(), "price", "notional", "trade_count", "duration_us")
+    return (hits, left) if states else hits
 
 
 def turnover_lookup(tape: DataFrame, turnover: DataFrame) -> DataFrame:
@@ -83,14 +91,18 @@ def large_print(tape: DataFrame, turnover: DataFrame, *, pct_threshold: float =
 
     The floor test runs before anything else; only candidates reach the fold.
     """
+    return greedy_cooldown(large_candidates(tape, turnover, pct_threshold, min_notional), ["symbol"], cooldown_us, n=n)
+
+
+def large_candidates(tape: DataFrame, turnover: DataFrame, pct_threshold: float, min_notional: int) -> DataFrame:
+    """Large prints before their cooldown."""
     usd = F.col("notional")
     known = F.col("turnover") > 0
     pct = F.when(known, usd / F.col("turnover")).otherwise(F.lit(float("nan")))
-    cand = turnover_lookup(tape.where(usd >= min_notional), turnover) \
+    return turnover_lookup(tape.where(usd >= min_notional), turnover) \
         .where(F.when(known, usd / F.col("turnover") >= pct_threshold).otherwise(usd >= 10 * min_notional)) \
         .select("symbol", "ts_us", "trade_id", F.lit("LARGE_PRINT").alias("kind"), _direction(), "price", "notional",
                 pct.alias("pct_of_turnover"))
-    return greedy_cooldown(cand, ["symbol"], cooldown_us, n=n)
 
 
 def ofi_buckets(tape: DataFrame, bucket_us: int) -> DataFrame:
@@ -121,6 +133,11 @@ def ofi_pulse(tape: DataFrame, *, bucket_us: int = 60_000_000, history: int = 60
     bucket.  A bucket's running flow never exceeds its gross value, so only
     ticks of buckets whose gross value could reach the bound are ever scanned.
     """
+    return greedy_cooldown(pulse_candidates(tape, bucket_us, history, k, min_notional, min_history, n), ["symbol"], cooldown_us, n=n)
+
+
+def pulse_candidates(tape: DataFrame, bucket_us: int, history: int, k: float, min_notional: int, min_history: int, n: int | None = None) -> DataFrame:
+    """Pulses before their cooldown."""
     signed = F.when(F.col("side") == "Sell", -F.col("notional")).otherwise(F.col("notional"))
     keyed = tape.withColumn("bucket_us", F.col("ts_us") - F.pmod("ts_us", F.lit(bucket_us)))
     medians = prior_medians(ofi_buckets(tape, bucket_us), history).where(F.col("bucket_idx") >= min_history)
@@ -131,11 +148,10 @@ def ofi_pulse(tape: DataFrame, *, bucket_us: int = 60_000_000, history: int = 60
     hit = running(ticks, ["symbol", "bucket_us"], ["ts_us", "trade_id"], {"ofi": ("sum", F.col("signed"))}, n=n).where(F.abs("ofi") >= min_notional)
     size = F.abs("ofi")
     ratio = F.when(F.col("median_abs") > 0, size / F.col("median_abs")).otherwise(F.lit(float("inf")))
-    cand = hit.where(F.when(F.col("median_abs") > 0, size / F.col("median_abs") >= k).otherwise(size >= 5 * min_notional)) \
+    return hit.where(F.when(F.col("median_abs") > 0, size / F.col("median_abs") >= k).otherwise(size >= 5 * min_notional)) \
         .select("symbol", "ts_us", "trade_id", F.lit("OFI_PULSE").alias("kind"),
                 F.when(F.col("ofi") > 0, "buy").otherwise("sell").alias("direction"), "price", size.alias("notional"),
                 ratio.alias("ratio_to_median"), "median_abs")
-    return greedy_cooldown(cand, ["symbol"], cooldown_us, n=n)
 
 
 def liquidity_bank(*alerts: DataFrame, cooldown_us: int | None = None) -> DataFrame:

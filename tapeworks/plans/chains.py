@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeworks.plans.folds import Step, _emit, key_runs
+from tapeworks.plans.folds import Step, _emit, _starter, key_runs
 from tapeworks.plans.slices import SLICE, slice_rows
 
 DEGREE = 16
@@ -94,16 +94,17 @@ def compose(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
     return out.groupby(run, sort=False).agg({"lo": "min", "hi": "max", "exit": "first", "shift": "first", "closed": "first"}).reset_index(drop=True)
 
 
-def _survey(step: Step, initial: list, keys: list[str], amount: str, threshold: str, clock: str):
+def _survey(step: Step, begin, keys: list[str], amount: str, threshold: str, clock: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = at = clock_at = None
-        state, emitted, amounts, limits = initial, 0, [], []
+        first = last = at = clock_at = state = held = None
+        emitted, amounts, limits = 0, [], []
         for pdf in batches:
             for key, rows in key_runs(pdf, keys):
                 if at is None:
-                    at, first, last = int(rows[SLICE].iloc[0]), key, key
+                    at, first, last, state = int(rows[SLICE].iloc[0]), key, key, begin(rows)
+                    held = state[0]
                 elif key != last:
-                    state, emitted, last = initial, 0, key
+                    state, emitted, last = begin(rows), 0, key
                 if last == first:
                     amounts.append(rows[amount].to_numpy(np.int64))
                     limits.append(rows[threshold].to_numpy(np.int64))
@@ -114,14 +115,14 @@ def _survey(step: Step, initial: list, keys: list[str], amount: str, threshold:
                 clock_at = int(rows[clock].iloc[-1])
         if at is None:
             return
-        head = pd.DataFrame({"slice": [at], "first_key": [json.dumps(first)], "last_key": [json.dumps(last)], "filled": [state[0]], "emitted": [emitted], "clock": [clock_at]})
+        head = pd.DataFrame({"slice": [at], "first_key": [json.dumps(first)], "last_key": [json.dumps(last)], "start": [held], "filled": [state[0]], "emitted": [emitted], "clock": [clock_at]})
         yield head.reindex(columns=_NAMES).astype(_TYPES)
         if amounts:
             yield exit_map(np.concatenate(amounts), np.concatenate(limits)).assign(slice=at).reindex(columns=_NAMES).astype(_TYPES)
     return run
 
 
-_REPORT = "slice int, first_key string, last_key string, filled bigint, emitted bigint, clock bigint, " + _MAP
+_REPORT = "slice int, first_key string, last_key string, start bigint, filled bigint, emitted bigint, clock bigint, " + _MAP
 _NAMES = [c.split()[0] for c in _REPORT.split(", ")]
 _TYPES = {c: "object" if c.endswith("_key") else "boolean" if c == "shift" else "Int64" for c in _NAMES}
 
@@ -161,13 +162,16 @@ def _resolve(maps: DataFrame, length: dict[int, int], entry: dict[int, int]) ->
 
 
 def reset_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out_schema: str, *, amount: str, threshold: str,
-               track_clock: bool = False, n: int | None = None) -> DataFrame:
-    """``fold`` for a step with state [filled, last time or None] that resets at ``threshold``; ``order`` begins with the time."""
+               track_clock: bool = False, n: int | None = None, start: str | None = None) -> DataFrame:
+    """``fold`` for a step with state [filled, last time or None] that resets at ``threshold``; ``order`` begins with the time.
+
+    ``start`` names a column with the state (JSON, null for none) that a key begins with, the same in all its rows.
+    """
     keys, initial = list(keys), [0, None]
     sliced = df if SLICE in df.columns else slice_rows(df, keys, order, n)
     schema = T.StructType([sliced.schema[k] for k in keys] + [f for f in T._parse_datatype_string(out_schema).fields if f.name not in keys])
-    seen = sliced.mapInPandas(_survey(step, initial, keys, amount, threshold, order[0]), _REPORT).checkpoint(eager=True)
-    line = sorted(seen.where("first_key IS NOT NULL").select(*_NAMES[:6]).collect(), key=lambda r: r.slice)
+    seen = sliced.mapInPandas(_survey(step, _starter(initial, start), keys, amount, threshold, order[0]), _REPORT).checkpoint(eager=True)
+    line = sorted(seen.where("first_key IS NOT NULL").select(*_NAMES[:7]).collect(), key=lambda r: r.slice)
     whole = [r.first_key == r.last_key for r in line]
     goes_on = [i > 0 and line[i - 1].last_key == r.first_key for i, r in enumerate(line)]
     # chains: runs of slices inside one key, each entered from the slice before
@@ -178,7 +182,7 @@ def reset_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: S
             chain[i], pos[i] = (chain[i - 1], pos[i - 1] + 1) if joined else (i, 0)
             length[chain[i]] = pos[i] + 1
             if not joined:
-                entry[i] = line[i - 1].filled if goes_on[i] else 0
+                entry[i] = line[i - 1].filled if goes_on[i] else r.start
     found = {}
     # a slice's own exit is needed only where another follows
     if any(v > 1 for v in length.values()) or any(goes_on[i] and whole[i - 1] for i in range(1, len(line))):
@@ -197,4 +201,4 @@ def reset_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: S
             else:
                 filled, done, base = line[i - 1].filled, line[i - 1].emitted, 0
             settled[r.slice] = ([filled, line[i - 1].clock if track_clock else None], base + done)
-    return sliced.mapInPandas(_emit(step, initial, keys, settled, schema.fieldNames()), schema)
+    return sliced.mapInPandas(_emit(step, initial, keys, settled, schema.fieldNames(), start), schema)

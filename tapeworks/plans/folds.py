@@ -73,30 +73,59 @@ def json_value(v):
     return v.item() if hasattr(v, "item") else (str(v) if not isinstance(v, (int, float, str, bool, type(None))) else v)
 
 
-_SUMMARY = "slice int, first_key string, last_key string, state string, emitted long"
+_SUMMARY = "slice int, first_key string, last_key string, presumed string, state string, emitted long"
 
 
-def _summarise(step: Step, initial: object, keys: list[str], entry: dict[int, object]):
+def _starter(initial: object, start: str | None):
+    """State a key begins with: that of its column ``start`` (JSON) where it has one."""
+    def begin(rows: pd.DataFrame) -> object:
+        given = rows[start].iloc[0] if start else None
+        return json.loads(given) if isinstance(given, str) else initial
+    return begin
+
+
+def _summarise(step: Step, begin, keys: list[str], entry: dict[int, object]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
-        state, emitted, at = initial, 0, None
+        first = last = state = at = presumed = None
+        emitted = 0
         for pdf in batches:
             for key, rows in key_runs(pdf, keys):
                 if at is None:
-                    at, first = int(rows[SLICE].iloc[0]), key
-                    state = entry.get(at, initial)
-                    last = key
+                    at, first, last, presumed = int(rows[SLICE].iloc[0]), key, key, begin(rows)
+                    state = entry.get(at, presumed)
                 elif key != last:
-                    state, emitted, last = initial, 0, key
+                    state, emitted, last = begin(rows), 0, key
                 state, n, _ = step(state, rows, emitted)
                 emitted += n
         if at is not None:
-            yield pd.DataFrame({"slice": [at], "first_key": [json.dumps(first)], "last_key": [json.dumps(last)],
+            yield pd.DataFrame({"slice": [at], "first_key": [json.dumps(first)], "last_key": [json.dumps(last)], "presumed": [json.dumps(presumed)],
                                 "state": [json.dumps(state)], "emitted": [emitted]})
     return run
 
 
-def _emit(step: Step, initial: object, keys: list[str], entry: dict[int, tuple], out_names: list[str]):
+def _leave(step: Step, begin, keys: list[str], entry: dict[int, tuple], going_on: set[int]):
+    """The state every key is left in, given out by the slice that holds its last row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = last = state = None
+        done: list[tuple] = []
+        for pdf in batches:
+            for key, rows in key_runs(pdf, keys):
+                if at is None:
+                    at, last = int(rows[SLICE].iloc[0]), key
+                    state = entry[at][0] if at in entry else begin(rows)
+                elif key != last:
+                    done.append((*last, json.dumps(state)))
+                    state, last = begin(rows), key
+                state, _, _ = step(state, rows, 0)
+        if at is not None and at not in going_on:
+            done.append((*last, json.dumps(state)))
+        yield pd.DataFrame(done, columns=[*keys, "state"])
+    return run
+
+
+def _emit(step: Step, initial: object, keys: list[str], entry: dict[int, tuple], out_names: list[str], start: str | None = None):
+    begin = _starter(initial, start)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state, emitted, started = None, initial, 0, False
         for pdf in batches:
@@ -104,9 +133,10 @@ def _emit(step: Step, initial: object, keys: list[str], entry: dict[int, tuple],
             for key, rows in key_runs(pdf, keys):
                 if not started:
                     started, last = True, key
-                    state, emitted = entry.get(int(rows[SLICE].iloc[0]), (initial, 0))
+                    at = int(rows[SLICE].iloc[0])
+                    state, emitted = entry[at] if at in entry else (begin(rows), 0)
                 elif key != last:
-                    state, emitted, last = initial, 0, key
+                    state, emitted, last = begin(rows), 0, key
                 state, n, out = step(state, rows, emitted)
                 emitted += n
                 if out is not None and len(out):
@@ -117,15 +147,20 @@ def _emit(step: Step, initial: object, keys: list[str], entry: dict[int, tuple],
 
 
 def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, initial: object, out_schema: str | T.StructType,
-         *, n: int | None = None, freeze: bool = False) -> DataFrame:
-    """Run ``step`` over every key of ``df`` in ``order``; keys are prepended to ``out_schema``."""
+         *, n: int | None = None, freeze: bool = False, start: str | None = None, states: bool = False) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Run ``step`` over every key of ``df`` in ``order``; keys are prepended to ``out_schema``.
+
+    ``start`` names a column with the state (JSON, null for the initial one) that a key begins
+    with, the same in all its rows; with ``states`` the state every key is left in comes as a
+    second frame, so that a later batch of rows can go on from it.
+    """
     keys = list(keys)
     sliced = df if SLICE in df.columns else slice_rows(df, keys, order, n, freeze)
     columns = T._parse_datatype_string(out_schema) if isinstance(out_schema, str) else out_schema
     schema = T.StructType([sliced.schema[k] for k in keys] + [f for f in columns.fields if f.name not in keys])
 
     def survey(frame: DataFrame, entry: dict[int, object]) -> list:
-        return frame.mapInPandas(_summarise(step, initial, keys, entry), _SUMMARY).collect()
+        return frame.mapInPandas(_summarise(step, _starter(initial, start), keys, entry), _SUMMARY).collect()
 
     reports = {r.slice: r for r in survey(sliced, {})}
     line = sorted(reports)
@@ -139,7 +174,7 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, i
     while True:
         entry = {line[i]: json.loads(reports[line[i - 1]].state) for i in range(len(line)) if continues(i)}
         stale = [s for s, state in entry.items()
-                 if reports[s].first_key == reports[s].last_key and not same_state(state, used.get(s, initial))]
+                 if reports[s].first_key == reports[s].last_key and not same_state(state, used[s] if s in used else json.loads(reports[s].presumed))]
         if not stale:
             break
         rounds += 1
@@ -158,7 +193,12 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, i
             count = count + reports[s].emitted if reports[s].first_key == reports[s].last_key else reports[s].emitted
         else:
             count = reports[s].emitted
-    return sliced.mapInPandas(_emit(step, initial, keys, settled, schema.fieldNames()), schema)
+    out = sliced.mapInPandas(_emit(step, initial, keys, settled, schema.fieldNames(), start), schema)
+    if not states:
+        return out
+    going_on = {line[i - 1] for i in range(len(line)) if continues(i)}
+    left = T.StructType([sliced.schema[k] for k in keys] + [T.StructField("state", T.StringType())])
+    return out, sliced.mapInPandas(_leave(step, _starter(initial, start), keys, settled, going_on), left)
 
 
 def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: str, offset: str, out: str,
