@@ -84,24 +84,30 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
     Each gaining token opens a candidate with the prefix sums before and after it.  A candidate
     is joined to the nearest earlier one that starts lower, as long as that one also ends lower.
+    Every held segment knows the nearest before it that starts lower, so the search follows these
+    links; where none starts lower, no later token can reach back, and all held are given out.
     """
     ups = np.flatnonzero(scores > 0)
     if not len(ups):
         return []
     sums = np.cumsum(scores)
-    found: list[tuple[int, int, float, float]] = []
+    done: list[tuple[int, int, float, float]] = []
+    held: list[tuple[int, int, float, float]] = []
+    lower: list[int] = []
     for at, left, right in zip(ups.tolist(), (sums[ups] - scores[ups]).tolist(), sums[ups].tolist(), strict=True):
-        start, low = at, left
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= low:
-                k -= 1
-            if k < 0 or found[k][3] >= right:
-                found.append((start, at + 1, low, right))
-                break
-            start, low = found[k][0], found[k][2]
-            del found[k:]
-    return [(a, b, high - low) for a, b, low, high in found]
+        start, low, k = at, left, len(held) - 1
+        while k >= 0 and held[k][2] >= low:
+            k = lower[k]
+        while k >= 0 and held[k][3] < right:
+            start, low, before = held[k][0], held[k][2], lower[k]
+            del held[k:], lower[k:]
+            k = before
+        if k < 0:
+            done += held
+            held, lower = [], []
+        held.append((start, at + 1, low, right))
+        lower.append(k)
+    return [(a, b, high - low) for a, b, low, high in done + held]
 
 
 def held_out(id: str) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -57,6 +59,19 @@ def test_segments():
         assert np.allclose([g[2] for g in got], [w[2] for w in want])
 
 
+def test_segments_in_linear_time():
+    """Twice the tokens take about twice the time: clean texts, whose sums fall, and texts of long rises."""
+    def seconds(n, gain):
+        scores = np.full(n, -0.5)
+        scores[::10] = gain
+        began = time.process_time()
+        toxicity.segments(scores)
+        return time.process_time() - began
+
+    for gain in (1.0, 4.9, 5.1):
+        assert seconds(1_000_000, gain) < 8 * max(seconds(250_000, gain), 0.1)
+
+
 def test_toxicity(spark, odd, empty):
     rnd = np.random.default_rng(4)
     plain = [f"p{k}" for k in range(300)]
