@@ -16,9 +16,9 @@ batch that is run again changes nothing.  State alternates between two folders.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,6 @@ from tapeworks.session import ensure_checkpoint_dir
 from tapeworks.streaming.steps import OUT, RadarParams
 
 TICKS = schemas.TAPE + ", turnover BIGINT, threshold BIGINT"
-FRESH_SWEEP = json.dumps([None, None, 0, 0, 0])
 STATE: Mapping[str, str] = {
     "held": TICKS,
     "open": "symbol STRING, " + schemas.PARTIAL_BAR,
@@ -119,9 +118,11 @@ class RadarBatches:
         side = F.when(F.col("side") == "Sell", "sell").otherwise("buy")
         late = _rows(given.where(behind), "LATE", F.col("trade_id"), side)
         last: list[DataFrame] = []
-        bar_rows = self.bar_alerts(ticks, prev, upto, keep, last)
-        liquidity = self.liquidity_alerts(ticks, prev, keep, last)
-        out = late.unionByName(bar_rows)
+        with ThreadPoolExecutor(4) as pool:  # bars and detectors do not wait for one another
+            bar_rows = pool.submit(self.bar_alerts, ticks, prev, upto, keep, last)
+            found = [f.result() for f in [pool.submit(d, ticks, prev, keep, last) for d in (self.sweeps, self.large_prints, self.pulses)]]
+            liquidity = self.thinned([f for f in found if f is not None], prev, last)
+            out = late.unionByName(bar_rows.result())
         if liquidity is not None:
             ratio = F.coalesce("ratio_to_median", F.lit(0.0)) if "ratio_to_median" in liquidity.columns else F.lit(0.0)
             out = out.unionByName(_rows(liquidity, F.col("kind"), F.col("trade_id"), F.col("direction"), ratio))
@@ -175,40 +176,47 @@ class RadarBatches:
             "symbol", F.lit("VPIN").alias("kind"), F.col("end_us").alias("ts_us"), F.col("bar_idx").alias("ref_id"), "direction", "open", F.col("close").alias("price"), "notional",
             "vpin", "z_score", "absorption")
 
-    def liquidity_alerts(self, ticks: DataFrame, prev: dict, keep, last: list[DataFrame]) -> DataFrame | None:
-        """Alerts of the tick detectors that the parameters name."""
-        p, found = self.params, []
-        if p.sweep:
-            src = lookup(ticks, prev["sweeps"].withColumnRenamed("state", "_start"), ["symbol"])
-            hits, left = sweeps_from(src, "_start", **p.sweep, n=self.slices, states=True)
-            rest = prev["sweeps"].join(left.select("symbol"), "symbol", "left_anti")
-            keep("sweeps", left.unionByName(rest))
-            found.append(hits)
-        else:
+    def sweeps(self, ticks: DataFrame, prev: dict, keep, last: list[DataFrame]) -> DataFrame | None:
+        """Sweeps; a run of trades goes on from the batch before."""
+        if not self.params.sweep:
             keep("sweeps", prev["sweeps"])
-        if p.large:
-            rule = {k: v for k, v in p.large.items() if k != "cooldown_us"}
-            turnover = ticks.groupBy("symbol").agg(F.max("turnover").alias("turnover"))
-            found.append(self.cooled(large_candidates(ticks.drop("turnover"), turnover, **rule), "LARGE_PRINT", ["symbol"], p.large["cooldown_us"], prev, last))
-        if p.ofi:
-            rule = {k: v for k, v in p.ofi.items() if k != "cooldown_us"}
-            flow = F.col("ofi")
-            # a carried bucket is one trade of its flow at its start
-            carried = prev["buckets"].select("symbol", F.lit(-1).cast("long").alias("trade_id"), F.col("bucket_us").alias("ts_us"), F.lit(0).cast("long").alias("price"),
-                                             F.when(flow < 0, "Sell").otherwise("Buy").alias("side"), F.abs(flow).alias("notional"))
-            both = ticks.select("symbol", "trade_id", "ts_us", "price", "side", "notional").unionByName(carried)
-            pulses = pulse_candidates(both, **rule, n=self.slices).where("trade_id >= 0")
-            found.append(self.cooled(pulses, "OFI_PULSE", ["symbol"], p.ofi["cooldown_us"], prev, last))
-            buckets = ofi_buckets(both, p.ofi["bucket_us"])
-            placed = dense_index(buckets, ["symbol"], ["bucket_us"], "_idx")
-            newest = placed.groupBy("symbol").agg(F.max("_idx").alias("_newest"))
-            keep("buckets", lookup(placed, newest, ["symbol"]).where(F.col("_idx") > F.col("_newest") - p.ofi["history"]))
-        else:
+            return None
+        src = lookup(ticks, prev["sweeps"].withColumnRenamed("state", "_start"), ["symbol"])
+        hits, left = sweeps_from(src, "_start", **self.params.sweep, n=self.slices, states=True)
+        rest = prev["sweeps"].join(left.select("symbol"), "symbol", "left_anti")
+        keep("sweeps", left.unionByName(rest))
+        return hits
+
+    def large_prints(self, ticks: DataFrame, prev: dict, keep, last: list[DataFrame]) -> DataFrame | None:
+        if not self.params.large:
+            return None
+        rule = {k: v for k, v in self.params.large.items() if k != "cooldown_us"}
+        turnover = ticks.groupBy("symbol").agg(F.max("turnover").alias("turnover"))
+        return self.cooled(large_candidates(ticks.drop("turnover"), turnover, **rule), "LARGE_PRINT", ["symbol"], self.params.large["cooldown_us"], prev, last)
+
+    def pulses(self, ticks: DataFrame, prev: dict, keep, last: list[DataFrame]) -> DataFrame | None:
+        """Order-flow pulses; a carried bucket stands as one trade of its flow at its start."""
+        if not self.params.ofi:
             keep("buckets", prev["buckets"])
+            return None
+        rule = {k: v for k, v in self.params.ofi.items() if k != "cooldown_us"}
+        flow = F.col("ofi")
+        carried = prev["buckets"].select("symbol", F.lit(-1).cast("long").alias("trade_id"), F.col("bucket_us").alias("ts_us"), F.lit(0).cast("long").alias("price"),
+                                         F.when(flow < 0, "Sell").otherwise("Buy").alias("side"), F.abs(flow).alias("notional"))
+        both = ticks.select("symbol", "trade_id", "ts_us", "price", "side", "notional").unionByName(carried)
+        found = pulse_candidates(both, **rule, n=self.slices).where("trade_id >= 0")
+        placed = dense_index(ofi_buckets(both, self.params.ofi["bucket_us"]), ["symbol"], ["bucket_us"], "_idx")
+        newest = placed.groupBy("symbol").agg(F.max("_idx").alias("_newest"))
+        keep("buckets", lookup(placed, newest, ["symbol"]).where(F.col("_idx") > F.col("_newest") - self.params.ofi["history"]))
+        return self.cooled(found, "OFI_PULSE", ["symbol"], self.params.ofi["cooldown_us"], prev, last)
+
+    def thinned(self, found: list[DataFrame], prev: dict, last: list[DataFrame]) -> DataFrame | None:
+        """All tick alerts, at the distance that the second cooldown asks for."""
         if not found:
             return None
         bank = liquidity_bank(*found)
-        return bank if p.liquidity_cooldown_us is None else self.cooled(bank, "limit", ["kind", "symbol"], p.liquidity_cooldown_us, prev, last)
+        limit = self.params.liquidity_cooldown_us
+        return bank if limit is None else self.cooled(bank, "limit", ["kind", "symbol"], limit, prev, last)
 
 
 def _rows(df: DataFrame, kind: str | Column, ref: Column, direction: Column, z: Column | None = None) -> DataFrame:
