@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.numeric import floor_div
 from tapeworks.plans.folds import fold
 from tapeworks.plans.lookup import lookup
+from tapeworks.plans.scans import Step, scan
 
 LEVEL = "struct<price: bigint, qty: bigint>"
 # Price scale, taker fee, pessimism constants.
@@ -272,31 +273,17 @@ def snapshot_stable(earlier: DataFrame, later: DataFrame) -> DataFrame:
     return both.select("symbol", epoch.alias("same_epoch"), (epoch | (F.col("readiness").isNotNull() & same)).alias("stable"))
 
 
-def trust_step(decay: float):
-    """Cancel-to-trade memory of one price level; state [traded, cancelled]."""
-    def step(state, rows: pd.DataFrame, done: int):
-        traded, gone = state
-        out = []
-        for i, (kind, qty) in enumerate(zip(rows["kind"].tolist(), rows["qty"].tolist())):
-            if kind == "trade":
-                traded += qty
-            elif kind == "cancel":
-                gone += qty
-            else:
-                real = max(0.0, gone - traded)
-                active = traded + real
-                out.append((i, min(1.0, 5.0 * traded / active) if active >= 1e-9 else 1.0))
-                if active >= 1e-9:
-                    traded, gone = traded * decay, gone * decay
-        reads = rows.iloc[[i for i, _ in out]][["ts_us", "event_id"]].assign(weight=[w for _, w in out]) if out else None
-        return [traded, gone], 0, reads
-    return step
-
-
 def spoof_trust(level_events: DataFrame, *, decay: float = 0.95) -> DataFrame:
     """Trust weight of a price level at each read.
 
-    ``level_events``: symbol, price, ts_us, event_id, kind (trade / cancel / read), qty.
+    ``level_events``: symbol, price, ts_us, event_id, kind (trade / cancel / read), qty.  Traded and
+    cancelled volume add up and fade at every read: two linear recurrences, looked at before the
+    read's own fading.  Remainders under 1e-9 count as no volume, faded or not.
     """
-    return fold(level_events, ["symbol", "price"], ["ts_us", "event_id"], trust_step(decay), [0.0, 0.0],
-                "ts_us BIGINT, event_id BIGINT, weight DOUBLE")
+    kind, qty = F.col("kind"), F.col("qty").cast("double")
+    moves = level_events.select("symbol", "price", "ts_us", "event_id", "kind", F.when(kind.isin("trade", "cancel"), 1.0).otherwise(decay).alias("_left"),
+                                F.when(kind == "trade", qty).otherwise(0.0).alias("_traded"), F.when(kind == "cancel", qty).otherwise(0.0).alias("_gone"))
+    s = scan(moves, ["symbol", "price"], ["ts_us", "event_id"], {"traded": Step("_left", "_traded", exclusive=True), "gone": Step("_left", "_gone", exclusive=True)})
+    active = F.greatest("traded", "gone")
+    weight = F.when(active >= 1e-9, F.least(F.lit(1.0), 5.0 * F.col("traded") / active)).otherwise(1.0)
+    return s.where(~kind.isin("trade", "cancel")).select("symbol", "price", "ts_us", "event_id", weight.alias("weight"))

@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.plans.chains import ENDLESS, cooldown_map, reset_fold
 from tapeworks.plans.folds import fold
 from tapeworks.plans.lookup import lookup
-from tapeworks.plans.slices import blocks, dense_index, running
+from tapeworks.plans.slices import blocks, dense_index, running, slice_rows
 
 
 def cooldown_step(ts: str, cooldown: int):
-    """Keep the first event, then the first one at least ``cooldown`` after the last kept."""
-    def step(last, rows: pd.DataFrame, done: int):
-        times = rows[ts].tolist()
-        at = 0 if last is None else bisect.bisect_left(times, last + cooldown)
-        kept = []
+    """Keep the first event, then the first one at least ``cooldown`` after the last kept; state [time last kept, None]."""
+    def step(state, rows: pd.DataFrame, done: int):
+        last, times = state[0], rows[ts].to_numpy(np.int64)
+        at, kept = int(np.searchsorted(times, last + cooldown)), []
         while at < len(times):
             kept.append(at)
-            last = times[at]
-            at = max(at + 1, bisect.bisect_left(times, last + cooldown))
-        return last, len(kept), rows.iloc[kept] if kept else None
+            last = int(times[at])
+            at = max(at + 1, int(np.searchsorted(times, last + cooldown)))
+        return [last, None], len(kept), rows.iloc[kept] if kept else None
     return step
 
 
 def greedy_cooldown(events: DataFrame, keys: list[str], cooldown_us: int, *, ts: str = "ts_us", tie: str = "trade_id",
                     n: int | None = None) -> DataFrame:
-    """Drop events that follow the last *kept* event of their key too closely."""
-    return fold(events, keys, [ts, tie], cooldown_step(ts, cooldown_us), None, events.schema, n=n,
-                freeze=True).select(*events.columns)
+    """Drop events that follow the last *kept* event of their key too closely.
+
+    What a slice does to the time last kept is a step function, so slices of one hot key compose
+    in a tree; a key that never pauses costs no more passes than one that does.
+    """
+    sliced = slice_rows(events, keys, [ts, tie], n, freeze=True)
+    kept = reset_fold(sliced, keys, [ts, tie], cooldown_step(ts, cooldown_us), events.schema, amount=ts, threshold=ts,
+                      exits=lambda times, _: cooldown_map(times, cooldown_us), empty=-ENDLESS)
+    return kept.select(*events.columns)
 
 
 def sweep_step(min_trades: int, window_us: int, min_notional: int, cooldown_us: int):

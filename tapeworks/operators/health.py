@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.operators.regime import first_in_range
-from tapeworks.plans.folds import affine_scan, fold
-from tapeworks.plans.slices import SLICE, asof, blocks, dense_index, previous, running
+from tapeworks.plans.folds import fold
+from tapeworks.plans.scans import Step, affine_scan, scan
+from tapeworks.plans.slices import SLICE, asof, blocks, dense_index, previous, running, slice_rows
 
 
 def clock_offset(pings: DataFrame, *, max_rtt_ms: float = 1000.0, max_offset_ms: float = 500.0, keys: list[str] | None = None) -> DataFrame:
@@ -140,29 +141,21 @@ def cusum(prices: DataFrame, *, decay: float = 0.05, threshold: float = 3.0, dri
     return fold(prices, ["symbol"], ["seq"], cusum_step(decay, threshold, drift), [None, 1e-8, 0.0, 0.0], "seq BIGINT, signal BIGINT", n=n)
 
 
-def heat_step():
-    """Heat and fatigue of one sector; state [heat, fatigue]."""
-    def step(state, rows: pd.DataFrame, done: int):
-        heat, tired = state
-        out = []
-        for kind in rows["kind"].tolist():
-            if kind == "awakening":
-                heat = min(2.0, heat + 0.4)
-            elif kind == "failed":
-                tired = min(50.0, tired + 1.0)
-            elif kind == "intent":
-                tired = max(0.0, tired - 2.0)
-            else:
-                heat *= 0.995 / (1.0 + tired * 0.1)
-            out.append((heat, tired))
-        return [heat, tired], 0, rows[["ts_us", "event_id"]].assign(heat=[h for h, _ in out], fatigue=[t for _, t in out])
-    return step
-
-
 def sector_heat(events: DataFrame, *, base_threshold: float = 1.0, n: int | None = None) -> DataFrame:
     """Heat, fatigue, adjusted threshold and confidence of sectors
-    (``sector, ts_us, event_id, kind`` = awakening / failed / intent / tick)."""
-    s = fold(events, ["sector"], ["ts_us", "event_id"], heat_step(), [0.0, 0.0], "ts_us BIGINT, event_id BIGINT, heat DOUBLE, fatigue DOUBLE", n=n)
+    (``sector, ts_us, event_id, kind`` = awakening / failed / intent / tick).
+
+    Fatigue counts between two bounds, so its steps compose; once it is known, a tick cools the
+    sector by a known factor, and heat is a linear recurrence under a cap.
+    """
+    kind = F.col("kind")
+    moves = events.select("sector", "ts_us", "event_id", "kind",
+                          F.lit(1.0).alias("_one"), F.when(kind == "failed", 1.0).when(kind == "intent", -2.0).otherwise(0.0).alias("_tired"), F.lit(0.0).alias("_rested"), F.lit(50.0).alias("_spent"),
+                          F.when(kind == "awakening", 0.4).otherwise(0.0).alias("_warms"), F.lit(2.0).alias("_cap"))
+    sliced = slice_rows(moves, ["sector"], ["ts_us", "event_id"], n)
+    s = scan(sliced, ["sector"], ["ts_us", "event_id"], {"fatigue": Step("_one", "_tired", "_rested", "_spent")})
+    cools = F.when(kind.isin("awakening", "failed", "intent"), 1.0).otherwise(0.995 / (1.0 + F.col("fatigue") * 0.1))
+    s = scan(s.withColumn("_cools", cools), ["sector"], ["ts_us", "event_id"], {"heat": Step("_cools", "_warms", None, "_cap")}).select("sector", "ts_us", "event_id", "heat", "fatigue")
     relief = F.greatest(F.lit(0.2), F.least(F.lit(1.0), 1.0 - F.col("heat") * 0.8))
     wall = F.exp(F.greatest(F.lit(0.0), F.col("fatigue") - 10.0) * 0.3)
     trust = F.greatest(F.lit(0.0), F.least(F.lit(1.5), F.col("heat") / (1.0 + F.col("fatigue") * 0.5)))

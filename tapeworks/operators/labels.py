@@ -18,6 +18,7 @@ def triple_barrier(intents: DataFrame, bars: DataFrame, *, block_bars: int = 256
     equi-join whose hot keys AQE can split, and no intent-bar pair is ever
     shuffled.  Each meeting gives the block's first hit and its extremes, and an
     intent's blocks are joined up in order, so any ``max_bars`` is labelled.
+    Equal intents are one and get their labels back in the end, so every row is labelled.
     Barriers are checked stop first, then target, then the time limit; the stop
     fills at the worse of stop and bar extreme, the target at its price.
     """
@@ -30,7 +31,8 @@ def triple_barrier(intents: DataFrame, bars: DataFrame, *, block_bars: int = 256
     def level(up: Column, down: Column) -> Column:
         return floor_div(F.col("entry_px") * F.when(long, bps + up).otherwise(bps - down), bps)
     first, last = (F.floor(c / block_bars).cast("long") for c in (F.col("entry_bar"), F.col("entry_bar") + F.col("max_bars")))
-    df = intents.withColumn("tp_px", level(F.col("tp_bps"), F.col("tp_bps"))).withColumn("sl_px", level(-F.col("sl_bps"), -F.col("sl_bps")))
+    given = ["intent_id", "symbol", "side", "entry_px", "entry_bar", "tp_bps", "sl_bps", "max_bars"]
+    df = intents.groupBy(*given).agg(F.count("*").alias("_times")).withColumn("tp_px", level(F.col("tp_bps"), F.col("tp_bps"))).withColumn("sl_px", level(-F.col("sl_bps"), -F.col("sl_bps")))
     met = df.withColumn("_block", F.explode(F.sequence(first, F.greatest(first, last)))).join(packed, ["symbol", "_block"])
 
     def sl(b):
@@ -46,8 +48,7 @@ def triple_barrier(intents: DataFrame, bars: DataFrame, *, block_bars: int = 256
     met = met.withColumn("_hit", F.try_element_at(F.filter("_path", lambda b: sl(b) | tp(b) | late(b)), F.lit(1)))
     met = met.withColumn("_seen", F.filter("_path", lambda b: F.col("_hit").isNull() | (b["bar_idx"] <= F.col("_hit.bar_idx"))))
     part = F.struct("_block", F.array_max(F.transform("_seen", lambda b: b["high"])).alias("top"), F.array_min(F.transform("_seen", lambda b: b["low"])).alias("low"))
-    keys = ["intent_id", "symbol", "side", "entry_px", "entry_bar", "tp_px", "sl_px"]
-    df = met.groupBy(*keys).agg(F.collect_list(part).alias("_parts"), F.min(F.when(F.col("_hit").isNotNull(), F.struct("_block", "_hit"))).alias("_end")).where("_end IS NOT NULL")
+    df = met.groupBy(*given, "_times", "tp_px", "sl_px").agg(F.collect_list(part).alias("_parts"), F.min(F.when(F.col("_hit").isNotNull(), F.struct("_block", "_hit"))).alias("_end")).where("_end IS NOT NULL")
     df = df.withColumn("_hit", F.col("_end._hit")).withColumn("_parts", F.filter("_parts", lambda p: p["_block"] <= F.col("_end._block")))
     hit = F.col("_hit")
     df = df.withColumn("_top", F.greatest("entry_px", F.array_max(F.transform("_parts", lambda p: p["top"])))) \
@@ -57,6 +58,7 @@ def triple_barrier(intents: DataFrame, bars: DataFrame, *, block_bars: int = 256
                     .when(tp(hit), F.col("tp_px")).otherwise(hit["close"]))
     gain = F.when(long, F.col("exit_px") - F.col("entry_px")).otherwise(F.col("entry_px") - F.col("exit_px"))
     up, down = F.col("_top") - F.col("entry_px"), F.col("entry_px") - F.col("_low")
+    df = df.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return df.select("intent_id", "symbol", "side", "label", "entry_px", "exit_px", "entry_bar", hit["bar_idx"].alias("exit_bar"),
                      (hit["bar_idx"] - F.col("entry_bar")).alias("bars_held"), F.when(long, up).otherwise(down).alias("mfe"),
                      F.when(long, down).otherwise(up).alias("mae"), floor_div(gain * bps, F.col("entry_px")).alias("pnl_bps"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.plans.folds import affine_scan
+from tapeworks.plans.scans import affine_scan
 from tapeworks.plans.slices import SLICE, running
 
 

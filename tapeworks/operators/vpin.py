@@ -15,11 +15,33 @@ from tapeworks.plans.slices import blocks
 HOUR_US = 3_600_000_000
 
 
-def _weighted(values: Column, frame, power: int = 1) -> Column:
-    """Sum of x^power * exp(power * (g - g_now)) over a frame of structs (x, g)."""
-    now = F.col("_g")
-    return F.aggregate(F.collect_list(values).over(frame), F.lit(0.0),
-                       lambda acc, v: acc + F.pow(v["x"] * F.exp(v["g"] - now), F.lit(float(power))))
+STRETCH = 150.0
+
+
+def _faded(df: DataFrame, value: Column, rows: int, out: str, power: int = 1) -> DataFrame:
+    """Adds the sum of (x * exp(g - g_now))^power over the last ``rows`` rows, ``_g`` being the silence so far.
+
+    Powers of e leave the range of doubles, so they are taken from the start of a stretch of
+    ``STRETCH`` of g.  A frame's rows of the current stretch are a frame of that stretch, those of
+    the one before are the end of its rows, and older ones weigh less than exp(-STRETCH): two
+    terms, without gathering the frame.
+    """
+    def base(stretch: Column) -> Column:
+        return stretch * STRETCH
+    all_rows = Window.partitionBy("symbol", "_block").orderBy("bar_idx")
+    stretch = Window.partitionBy("symbol", "_block", "_stretch").orderBy("bar_idx")
+    df = df.withColumn("_stretch", F.floor(F.col("_g") / STRETCH))
+    df = df.withColumn("_x", F.coalesce(F.pow(value * F.exp(F.col("_g") - base(F.col("_stretch"))), F.lit(float(power))), F.lit(0.0)))
+    df = df.withColumn("_now", F.sum("_x").over(stretch.rowsBetween(-(rows - 1), 0))).withColumn("_rest", F.sum("_x").over(stretch.rowsBetween(0, Window.unboundedFollowing)))
+    df = df.withColumn("_here", F.struct("_stretch", F.sum("_x").over(stretch.rowsBetween(Window.unboundedPreceding, 0)).alias("all")))
+    df = df.withColumn("_lag", F.lag("_here").over(all_rows)).withColumn("_left", F.first("_lag").over(stretch)).withColumn("_from", F.lag(F.struct("_stretch", "_rest"), rows - 1).over(all_rows))
+    before = F.col("_stretch") - 1
+    old = (F.when(F.col("_from._stretch") == F.col("_stretch"), 0.0).when(F.col("_from._stretch") == before, F.col("_from._rest"))
+           .when(F.col("_left._stretch") == before, F.col("_left.all")).otherwise(0.0))
+
+    def weight(start: Column) -> Column:
+        return F.exp(power * (base(start) - F.col("_g")))
+    return df.withColumn(out, F.col("_now") * weight(F.col("_stretch")) + old * weight(before)).drop("_stretch", "_x", "_now", "_rest", "_here", "_lag", "_left", "_from")
 
 
 def vpin_signals(bars: DataFrame, *, window: int, base_threshold: float, z_threshold: float = 2.5, z_history: int = 500,
@@ -45,16 +67,17 @@ def vpin_signals(bars: DataFrame, *, window: int, base_threshold: float, z_thres
         silence = F.col("end_us") - F.lag("end_us").over(w)
         lost = F.when(silence > decay_gap_us, silence / (HOUR_US * max(tau_hours, 1.0))).otherwise(0.0)
         df = df.withColumn("_step", lost).withColumn("_g", F.sum("_step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        flow = _weighted(F.struct(F.col("_abs").alias("x"), F.col("_g").alias("g")), recent)
+        df = _faded(df, F.col("_abs"), window, "_flow")
+        flow = F.col("_flow")
     else:
         flow = F.sum("_abs").over(recent)
     total = F.lit(float(base_threshold) * window) if denominator == "base" else F.sum("notional").over(recent)
     df = df.withColumn("vpin", F.when(F.col("bar_idx") >= window - 1, clamp(flow / total, 0.0, 1.0)))
     n = F.count("vpin").over(emitted)
     if decay_gap_us is not None:
-        item = F.when(F.col("vpin").isNotNull(), F.struct(F.col("vpin").alias("x"), F.col("_g").alias("g")))
         some = F.nullif(n, F.lit(0))
-        mean, square = _weighted(item, emitted) / some, _weighted(item, emitted, 2) / some
+        df = _faded(_faded(df, F.col("vpin"), z_history, "_sum"), F.col("vpin"), z_history, "_squares", 2)
+        mean, square = F.col("_sum") / some, F.col("_squares") / some
     else:
         mean, square = F.avg("vpin").over(emitted), F.avg(F.col("vpin") * F.col("vpin")).over(emitted)
     df = df.withColumn("_mean", mean).withColumn("_sq", square).withColumn("_ref", F.lag("close", window - 1).over(w))

@@ -71,6 +71,27 @@ def exit_map(amount: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
     return out.astype({"lo": "int64", "hi": "int64", "exit": "int64", "shift": bool, "closed": "int64"}).sort_values("lo", ignore_index=True)
 
 
+def cooldown_map(ts: np.ndarray, cooldown: int) -> pd.DataFrame:
+    """Pieces [lo, hi) of the time last kept with the one that is last kept afterwards, for events in order of time.
+
+    The first event at least ``cooldown`` later is kept, and from there on the chain is fixed;
+    where none is, the time stays (``shift`` by 0).
+    """
+    n = len(ts)
+    rows = np.arange(n)
+    after = np.maximum(np.searchsorted(ts, ts + cooldown, side="left"), rows + 1)
+    after = np.where(after < n, after, rows)
+    while (after[after] != after).any():
+        after = after[after]
+    hi = ts - cooldown + 1
+    lo = np.concatenate([[-ENDLESS], hi[:-1]])
+    out = pd.DataFrame({"lo": lo, "hi": hi, "exit": ts[after], "shift": False, "closed": 0})[lo < hi]
+    run = out["exit"].ne(out["exit"].shift()).cumsum()
+    out = out.groupby(run.to_numpy(), sort=False).agg({"lo": "min", "hi": "max", "exit": "first", "shift": "first", "closed": "first"})
+    stays = pd.DataFrame({"lo": [hi[-1]], "hi": [ENDLESS], "exit": [0], "shift": [True], "closed": [0]})
+    return pd.concat([out, stays]).astype({"lo": "int64", "hi": "int64", "exit": "int64", "shift": bool, "closed": "int64"}).sort_values("lo", ignore_index=True)
+
+
 def look_up(pieces: pd.DataFrame, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exit and closes for entry values."""
     at = np.searchsorted(pieces["lo"].to_numpy(), value, side="right") - 1
@@ -94,7 +115,7 @@ def compose(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
     return out.groupby(run, sort=False).agg({"lo": "min", "hi": "max", "exit": "first", "shift": "first", "closed": "first"}).reset_index(drop=True)
 
 
-def _survey(step: Step, begin, keys: list[str], amount: str, threshold: str, clock: str):
+def _survey(step: Step, begin, keys: list[str], exits, amount: str, threshold: str, clock: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = at = clock_at = state = held = None
         emitted, amounts, limits = 0, [], []
@@ -118,7 +139,7 @@ def _survey(step: Step, begin, keys: list[str], amount: str, threshold: str, clo
         head = pd.DataFrame({"slice": [at], "first_key": [json.dumps(first)], "last_key": [json.dumps(last)], "start": [held], "filled": [state[0]], "emitted": [emitted], "clock": [clock_at]})
         yield head.reindex(columns=_NAMES).astype(_TYPES)
         if amounts:
-            yield exit_map(np.concatenate(amounts), np.concatenate(limits)).assign(slice=at).reindex(columns=_NAMES).astype(_TYPES)
+            yield exits(np.concatenate(amounts), np.concatenate(limits)).assign(slice=at).reindex(columns=_NAMES).astype(_TYPES)
     return run
 
 
@@ -161,16 +182,17 @@ def _resolve(maps: DataFrame, length: dict[int, int], entry: dict[int, int]) ->
     return {(r.chain, r.pos): (r.value, r.done) for r in rows}
 
 
-def reset_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out_schema: str, *, amount: str, threshold: str,
-               track_clock: bool = False, n: int | None = None, start: str | None = None) -> DataFrame:
+def reset_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, out_schema: str | T.StructType, *, amount: str, threshold: str,
+               track_clock: bool = False, n: int | None = None, start: str | None = None, exits=exit_map, empty: int = 0) -> DataFrame:
     """``fold`` for a step with state [filled, last time or None] that resets at ``threshold``; ``order`` begins with the time.
 
-    ``start`` names a column with the state (JSON, null for none) that a key begins with, the same in all its rows.
+    ``exits`` makes a slice's map from its amounts and thresholds, ``empty`` is the value that a
+    key begins with.  ``start`` names a column with the state (JSON, null for none) that a key begins with, the same in all its rows.
     """
-    keys, initial = list(keys), [0, None]
+    keys, initial = list(keys), [empty, None]
     sliced = df if SLICE in df.columns else slice_rows(df, keys, order, n)
-    schema = T.StructType([sliced.schema[k] for k in keys] + [f for f in T._parse_datatype_string(out_schema).fields if f.name not in keys])
-    seen = sliced.mapInPandas(_survey(step, _starter(initial, start), keys, amount, threshold, order[0]), _REPORT).checkpoint(eager=True)
+    schema = T.StructType([sliced.schema[k] for k in keys] + [f for f in (T._parse_datatype_string(out_schema) if isinstance(out_schema, str) else out_schema).fields if f.name not in keys])
+    seen = sliced.mapInPandas(_survey(step, _starter(initial, start), keys, exits, amount, threshold, order[0]), _REPORT).checkpoint(eager=True)
     line = sorted(seen.where("first_key IS NOT NULL").select(*_NAMES[:7]).collect(), key=lambda r: r.slice)
     whole = [r.first_key == r.last_key for r in line]
     goes_on = [i > 0 and line[i - 1].last_key == r.first_key for i, r in enumerate(line)]
@@ -189,7 +211,7 @@ def reset_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: S
         place = sliced.sparkSession.createDataFrame([(line[i].slice, chain[i], pos[i]) for i in chain], "slice int, chain int, pos int")
         maps = seen.where("lo IS NOT NULL").select("slice", *[c.split()[0] for c in _MAP.split(", ")]).join(F.broadcast(place), "slice").drop("slice")
         # the slice after a chain is entered with the chain's exit: a closing map at its end hands that out
-        ends = sliced.sparkSession.createDataFrame([(0, ENDLESS, 0, True, 0, c, length[c]) for c in length], f"{_MAP}, chain int, pos int")
+        ends = sliced.sparkSession.createDataFrame([(-ENDLESS, ENDLESS, 0, True, 0, c, length[c]) for c in length], f"{_MAP}, chain int, pos int")
         found = _resolve(maps.unionByName(ends), {c: v + 1 for c, v in length.items()}, entry)
     settled: dict[int, tuple] = {}
     for i, r in enumerate(line):

@@ -14,8 +14,8 @@ Such machines forget: a side flip, a closed bar or an expired cooldown makes the
 exit state independent of the entry, so step 2 settles after a round or two.  A
 machine that never forgets still gets the exact answer: after ``PATIENCE`` rounds
 only slices whose entry is final run again, so every slice runs a bounded number
-of times, one after the other.  Linear recurrences do not need that: see
-``affine_scan``, which composes the slices' maps instead of re-running them.
+of times, one after the other.  Recurrences whose steps compose do not need that:
+see ``scans`` and ``chains``.
 Counts that only add up (bar numbers) are carried beside the state as prefix
 sums, so they never cause a re-run.
 
@@ -199,54 +199,3 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, i
     going_on = {line[i - 1] for i in range(len(line)) if continues(i)}
     left = T.StructType([sliced.schema[k] for k in keys] + [T.StructField("state", T.StringType())])
     return out, sliced.mapInPandas(_leave(step, _starter(initial, start), keys, settled, going_on), left)
-
-
-def affine_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], factor: str, offset: str, out: str,
-                *, n: int | None = None, freeze: bool = False) -> DataFrame:
-    """x = factor * x_before + offset along every key, from x = 0; adds column ``out``.
-
-    A slice's rows compose to one map x -> A x + B, so one pass over the slices
-    gives all entry values and a second one the result.
-    """
-    keys = list(keys)
-    sliced = slice_rows(df, keys, order, n, freeze)
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = at = None
-        a, b = 1.0, 0.0
-        for pdf in batches:
-            for key, rows in key_runs(pdf, keys):
-                if at is None:
-                    at, first, last = int(rows[SLICE].iloc[0]), key, key
-                elif key != last:
-                    a, b, last = 0.0, 0.0, key
-                for f, o in zip(rows[factor].tolist(), rows[offset].tolist()):
-                    a, b = a * f, b * f + o
-        if at is not None:
-            yield pd.DataFrame({"slice": [at], "first_key": [json.dumps(first)], "last_key": [json.dumps(last)], "a": [a], "b": [b]})
-
-    maps = sorted(sliced.mapInPandas(compose, "slice int, first_key string, last_key string, a double, b double").collect(),
-                  key=lambda r: r.slice)
-    entry: dict[int, float] = {}
-    x, before = 0.0, None
-    for r in maps:
-        entry[r.slice] = x if before == r.first_key else 0.0
-        x, before = r.a * entry[r.slice] + r.b, r.last_key
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, x = None, 0.0
-        for pdf in batches:
-            values: list[float] = []
-            for key, rows in key_runs(pdf, keys):
-                if last is None:
-                    x = entry[int(rows[SLICE].iloc[0])]
-                elif key != last:
-                    x = 0.0
-                last = key
-                for f, o in zip(rows[factor].tolist(), rows[offset].tolist()):
-                    x = f * x + o
-                    values.append(x)
-            yield pdf.assign(**{out: values}).drop(columns=SLICE)
-
-    schema = T.StructType([f for f in sliced.schema.fields if f.name != SLICE] + [T.StructField(out, T.DoubleType())])
-    return sliced.mapInPandas(emit, schema)

@@ -9,7 +9,8 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tapeworks.plans import folds
-from tapeworks.plans.folds import affine_scan, fold, same_state
+from tapeworks.plans.folds import fold, same_state
+from tapeworks.plans.scans import affine_scan
 from tapeworks.plans.lookup import lookup
 from tapeworks.plans.slices import asof, blocks, dense_index, previous, running, slice_count
 
