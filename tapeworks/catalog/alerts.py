@@ -1,5 +1,7 @@
 """Alert rows and the outbox."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeworks.catalog import query
@@ -7,6 +9,7 @@ from tapeworks.catalog.bars import reset
 from tapeworks.catalog.detectors import BANK_SQL, HOUR, bank, greedy_sql
 from tapeworks.catalog.vpin import SIGNAL_SQL, signals
 from tapeworks.operators import alerts
+from tapeworks.session import ensure_checkpoint_dir
 from tapeworks.sources import tape as src
 
 COOL = 12 * HOUR
@@ -38,7 +41,13 @@ def _(spark, sf):
 @query("alert_sink", ALERT_SQL + """SELECT 'RADAR_ALERT:' || symbol || ':' || end_us AS idempotency_key, 'PENDING' AS status,
   end_us AS created_us, end_us AS execute_after_us, CAST(0 AS INTEGER) AS retry_count, CAST(1 AS INTEGER) AS priority FROM radar""")
 def _(spark, sf):
-    return alerts.outbox_rows(radar(spark, sf)).drop("payload")
+    """Rows as the sink stored them, from two batches that overlap and one of them run again."""
+    rows = alerts.outbox_rows(radar(spark, sf)).checkpoint()
+    path = f"{ensure_checkpoint_dir(spark)}/outbox-{uuid.uuid4().hex}"
+    write = alerts.alert_sink(path)
+    for part, epoch in ((rows.where("created_us % 3 < 2"), 0), (rows.where("created_us % 3 > 0"), 1), (rows.where("created_us % 3 < 2"), 0)):
+        write(part, epoch)
+    return alerts.outbox(spark, path, rows.schema).drop("payload")
 
 
 @query("radar_metrics", BANK_SQL.replace("bank AS (", "bank AS (").rstrip() + SIGNAL_SQL[SIGNAL_SQL.index(",\nwalk AS ("):].replace("walk", "barwalk") +

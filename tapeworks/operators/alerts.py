@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeworks.operators.detectors import greedy_cooldown
 
@@ -34,21 +35,37 @@ def outbox_rows(alerts: DataFrame) -> DataFrame:
         F.col("end_us").alias("execute_after_us"), F.lit(0).alias("retry_count"), F.lit(1).alias("priority"))
 
 
+DAY_US = 86_400_000_000
+
+
 def alert_sink(path: str):
-    """``foreachBatch`` writer that appends only rows whose key is not stored yet."""
+    """``foreachBatch`` writer of outbox rows, each key once, however often a batch is run.
+
+    Rows lie in folders by day and batch.  A batch overwrites its own folders and no others, so
+    running it again changes nothing.  A key holds its alert's time: rows of an earlier batch
+    with the same key can only lie in the days of this batch, and only these are read.
+    """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["idempotency_key"])
-        try:
-            stored = spark.read.parquet(path).select("idempotency_key")
-            fresh = fresh.join(stored, "idempotency_key", "left_anti")
-        except Exception as e:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+        rows = batch.dropDuplicates(["idempotency_key"]).withColumn("day", F.floor(F.col("created_us") / DAY_US).cast("long"))
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(place):
+            days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch of alerts
+            kept = [f"{path}/day={d}" for d in days if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={d}"))]
+            if kept:
+                schema = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+                stored = spark.read.schema(schema).option("basePath", path).parquet(*kept).where(F.col("batch") != epoch).select("idempotency_key")
+                rows = rows.join(stored, "idempotency_key", "left_anti")
+        rows.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
     return write
 
 
+def outbox(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What the sink has stored."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.LongType()), T.StructField("batch", T.LongType())])).parquet(path).drop("day", "batch")
+
+
 def dedupe_signals(signals: DataFrame, *, key: str = "idempotency_key", order: tuple[str, ...] = ("created_us", "signal_id"),
                    ttl_us: int = 0) -> DataFrame:
     """First signal per key; later duplicates are dropped.  A partial aggregate, so a hot key shrinks before the shuffle."""
