@@ -24,11 +24,11 @@ def clock_offset(pings: DataFrame, *, max_rtt_ms: float = 1000.0, max_offset_ms:
 
 def ema_fold(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, out: str = "ema", *, n: int | None = None) -> DataFrame:
     """Exponential average seeded by the first value of each key."""
-    first = previous(df, keys, order, {"_had": F.lit(1)}).drop(SLICE)
+    first = previous(slice_rows(df, keys, order, n), keys, order, {"_had": F.lit(1)})  # both scans go over the same slices
     seed = F.col("_had").isNull()
     lin = first.withColumn("_f", F.when(seed, 0.0).otherwise(1.0 - alpha)) \
         .withColumn("_o", F.when(seed, F.col(value).cast("double")).otherwise(F.col(value) * alpha)).drop("_had")
-    return affine_scan(lin, keys, order, "_f", "_o", out, n=n, freeze=True).drop("_f", "_o")
+    return affine_scan(lin, keys, order, "_f", "_o", out).drop("_f", "_o", SLICE)
 
 
 def lag_step(alpha: float, max_dev: float):

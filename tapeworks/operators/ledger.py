@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.plans.scans import affine_scan
-from tapeworks.plans.slices import SLICE, running
+from tapeworks.plans.slices import SLICE, running, slice_rows
 
 
 def position_ledger(fills: DataFrame, order: list[str], *, n: int | None = None) -> DataFrame:
@@ -17,12 +17,12 @@ def position_ledger(fills: DataFrame, order: list[str], *, n: int | None = None)
     the new quantity, a sale leaves it: a linear recurrence.
     """
     signed = F.when(F.upper("side") == "BUY", F.col("qty")).otherwise(-F.col("qty")).cast("double")
-    run = running(fills, ["symbol"], order, {"_s": ("sum", signed)}, n=n)
-    run = running(run, ["symbol"], order, {"_m": ("min", F.col("_s"))}, n=n)
-    held = run.withColumn("position_qty", F.col("_s") - F.least(F.lit(0.0), F.col("_m"))).drop("_s", "_m", SLICE)
+    run = running(slice_rows(fills, ["symbol"], order, n), ["symbol"], order, {"_s": ("sum", signed)})
+    run = running(run, ["symbol"], order, {"_m": ("min", F.col("_s"))})  # all three scans go over the same slices
+    held = run.withColumn("position_qty", F.col("_s") - F.least(F.lit(0.0), F.col("_m"))).drop("_s", "_m")
     share = F.when((F.upper("side") == "BUY") & (F.col("position_qty") > 0), F.col("qty") / F.col("position_qty")).otherwise(0.0)
     held = held.withColumn("_w", share).withColumn("_f", 1.0 - F.col("_w")).withColumn("_o", F.col("_w") * F.col("price"))
-    return affine_scan(held, ["symbol"], order, "_f", "_o", "avg_px", n=n, freeze=True).drop("_w", "_f", "_o")
+    return affine_scan(held, ["symbol"], order, "_f", "_o", "avg_px").drop("_w", "_f", "_o", SLICE)
 
 
 def confirmed_positions(fills: DataFrame, order: list[str]) -> DataFrame:

@@ -166,12 +166,16 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], *, left_ts: str
     """
     keys = list(keys)
     right_first = strict == forward
+    same = left.schema[left_id].dataType == right.schema[right_id].dataType  # ids keep their own type, texts included
+
+    def tie(c: str) -> Column:
+        return F.col(c) if same else F.col(c).cast("long")
     lt = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(1 if right_first else 0).alias("_side"),
-                     F.col(left_id).cast("long").alias("_id"),
+                     tie(left_id).alias("_id"),
                      F.struct(*[c for c in left.columns if c not in keys]).alias("_left"))
     payload = F.struct(*right_cols)
     rt = right.select(*keys, F.col(right_ts).alias("_t"), F.lit(0 if right_first else 1).alias("_side"),
-                      F.col(right_id).cast("long").alias("_id"), payload.alias("_right"))
+                      tie(right_id).alias("_id"), payload.alias("_right"))
     both = lt.unionByName(rt, allowMissingColumns=True)
     hit = running(both, keys, ["_t", "_side", "_id"], {"_hit": ("last", F.col("_right"))}, reverse=forward)
     return (hit.where(F.col("_left").isNotNull())

@@ -13,7 +13,7 @@ from tapeworks import catalog
 catalog.load()
 CORE = ("dollar_bars", "split_bars", "split_bars_scaled", "hybrid_clock_buckets", "resync", "vpin_zscore", "vpin_time_decay", "absorption", "sweep", "large_print",
         "ofi_pulse", "radar_alerts", "parse_trades", "parse_book", "markout", "exit_rules", "macro_regime", "leader_shock", "triple_barrier", "purged_kfold",
-        "book_validity", "book_at", "position_ledger", "position_arbitration", "click_audit", "rtt_p99", "ema_fold", "quarantine_stash", "stream_radar", "state_seed")
+        "book_validity", "book_at", "position_ledger", "sector_heat", "spoof_trust", "maker_fill_audit", "alert_sink", "position_arbitration", "click_audit", "rtt_p99", "ema_fold", "quarantine_stash", "stream_radar", "state_seed")
 NAMES = sorted(catalog.ORACLES) if os.environ.get("ALL_QUERIES") else CORE
 
 
@@ -59,15 +59,15 @@ def test_entry_without_the_training_data_folder():
 
 
 def test_empty_tables(spark, tmp_path):
-    """Every registered query runs on tables without rows."""
+    """Registered queries run on tables without rows: all of them with ALL_QUERIES, else those over ordered scans."""
     raw = spark.read.parquet
     for name in os.listdir("/root/testdata/sf0.001"):
         if name.endswith(".parquet"):
             raw(f"/root/testdata/sf0.001/{name}").limit(0).write.parquet(f"{tmp_path}/{name}")
     failed = {}
-    for name, run in catalog.QUERIES.items():
+    for name in [q for q in catalog.QUERIES if q in NAMES]:
         try:
-            run(spark, str(tmp_path)).collect()
+            catalog.QUERIES[name](spark, str(tmp_path)).collect()
         except Exception as e:  # noqa: BLE001  all failures are told at once
             failed[name] = str(e).splitlines()[0][:200]
     assert not failed, failed

@@ -118,3 +118,33 @@ def test_fading_over_long_silences(spark, block):
             mean = sum(vs) / len(vs)
             z = (v - mean) / math.sqrt(max(sum(x * x for x in vs) / len(vs) - mean * mean, 1e-12))
             assert math.isclose(got[i].vpin, v, rel_tol=1e-12, abs_tol=1e-12) and math.isclose(got[i].z_score, z, rel_tol=1e-7, abs_tol=1e-7)
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_exits_of_signals(spark, block):
+    """Every signal against every snapshot of its holding time."""
+    from tapeworks.operators import execution
+    rnd = random.Random(block)
+    books = []
+    for i in range(240):
+        p = 100 + rnd.randint(-2, 2)
+        side = lambda up: [(p + up * k, rnd.randint(1, 40)) for k in range(1, rnd.randint(1, 4))]  # noqa: B023, E731
+        books.append((rnd.choice("AAB"), i + i // 7, i, side(-1), side(1)))
+    signals = [(k, rnd.choice("AAB"), rnd.randint(0, 280), rnd.choice([1, -1]), rnd.choice([99, 100, 101, 0]), rnd.choice([10, 30, 60, 400, 0])) for k in range(150)]
+    level = "array<struct<price:bigint,qty:bigint>>"
+    got = {r.signal_id: (r.exit_us, r.reason) for r in execution.exit_rules(
+        spark.createDataFrame(signals, "signal_id long, symbol string, ts_us long, direction int, anchor_price long, anchor_volume long"),
+        spark.createDataFrame(books, f"symbol string, ts_us long, book_id long, bids {level}, asks {level}"), max_holding_us=40, block=block).collect()}
+    want = {}
+    for k, sym, ts, d, price, volume in signals:
+        for bsym, at, _, bids, asks in books:
+            if bsym != sym or at <= ts:
+                continue
+            own, other = (bids, asks) if d > 0 else (asks, bids)
+            left = next((q for p, q in own if p == price), 0)
+            reason = ("TIME_DECAY" if at - ts > 40 else "WALL_COLLAPSE" if price > 0 and volume > 0 and left < volume * 0.25
+                      else "DYNAMIC_TARGET" if other and other[0][1] > volume * 1.5 else None)
+            if reason:
+                want[k] = (at, reason)
+                break
+    assert got == want and len({r for _, r in want.values()}) == 3
