@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tapeworks import schemas
 from tapeworks.functions.numeric import floor_div
 from tapeworks.plans.chains import reset_fold
+from tapeworks.plans.clocks import clock_fold
 from tapeworks.plans.folds import fold
 from tapeworks.plans.slices import blocks, dense_index, running
 
@@ -208,20 +209,26 @@ def bar_stats_step(num: int, den: int):
 
 
 def hybrid_clock_step(target: int, ttl_us: int):
-    """Volume/time clock; state [volume, ofi, ticks, start of the bucket]."""
+    """Volume/time clock; state [volume, ofi, ticks, start of the bucket].  The next close is looked up, so work is done once a bucket."""
     def step(state, rows: pd.DataFrame, done: int):
         volume, ofi, count, since = state
-        out = []
-        for ts, tid, usd, flow in zip(*(rows[c].tolist() for c in ("ts_us", "trade_id", "notional", "ofi"))):
-            since = ts if since is None else since
-            volume, ofi, count = volume + usd, ofi + flow, count + 1
-            full, late = volume >= target, ts - since >= ttl_us
-            if full or (late and volume * 10 >= target * 8):
-                out.append((ts, tid, volume, ofi, count, "VOLUME_TARGET" if full else "TTL_EXPIRY"))
-            if full or late:
-                volume, ofi, count, since = 0, 0, 0, ts
-        frame = pd.DataFrame(out, columns=["ts_us", "trade_id", "volume", "ofi", "ticks", "trigger"]) if out else None
-        return [volume, ofi, count, since], 0, frame
+        ts, spent, flown = rows["ts_us"].to_numpy(np.int64), np.cumsum(rows["notional"].to_numpy(np.int64)), np.cumsum(rows["ofi"].to_numpy(np.int64))
+        since = int(ts[0]) if since is None else since
+        closes, at, base, flow_base, first = [], 0, -volume, -ofi, -count
+        while at < len(ts):
+            at = max(at, min(int(np.searchsorted(spent, base + target)), int(np.searchsorted(ts, since + ttl_us))))
+            if at >= len(ts):
+                break
+            filled = int(spent[at]) - base
+            if filled >= target or filled * 10 >= target * 8:
+                closes.append((at, filled, int(flown[at]) - flow_base, at + 1 - first, "VOLUME_TARGET" if filled >= target else "TTL_EXPIRY"))
+            base, flow_base, since, at = int(spent[at]), int(flown[at]), int(ts[at]), at + 1
+            first = at
+        left = [int(spent[-1]) - base, int(flown[-1]) - flow_base, len(ts) - first, since]
+        if not closes:
+            return left, 0, None
+        where, filled, flow, ticks, trigger = zip(*closes)
+        return left, 0, rows.iloc[list(where)][["ts_us", "trade_id"]].assign(volume=filled, ofi=flow, ticks=ticks, trigger=trigger)
     return step
 
 
@@ -229,11 +236,12 @@ def hybrid_clock_buckets(tape: DataFrame, target: int, ttl_us: int, *, ofi: str
                          n: int | None = None) -> DataFrame:
     """Buckets that close on volume, or on the first tick past their time to live.
 
-    A bucket closed by age is kept only with at least 80 % of the target.
+    A bucket closed by age is kept only with at least 80 % of the target.  Slices of
+    one market compose, whatever closes their buckets.
     """
     src = tape.select("symbol", "ts_us", "trade_id", "notional", (F.col(ofi) if isinstance(ofi, str) else ofi).alias("ofi"))
-    out = fold(src, ["symbol"], ["ts_us", "trade_id"], hybrid_clock_step(target, ttl_us), [0, 0, 0, None],
-               "ts_us BIGINT, trade_id BIGINT, volume BIGINT, ofi BIGINT, ticks BIGINT, trigger STRING", n=n)
+    out = clock_fold(src, ["symbol"], ["ts_us", "trade_id"], hybrid_clock_step(target, ttl_us),
+                     "ts_us BIGINT, trade_id BIGINT, volume BIGINT, ofi BIGINT, ticks BIGINT, trigger STRING", volume="notional", flow="ofi", target=target, ttl_us=ttl_us, n=n)
     return out.withColumn("vnofi", F.col("ofi") / F.col("volume"))
 
 

@@ -148,3 +148,23 @@ def test_exits_of_signals(spark, block):
                 want[k] = (at, reason)
                 break
     assert got == want and len({r for _, r in want.values()}) == 3
+
+
+@pytest.mark.parametrize(("slices", "target", "ttl"), [(1, 300, 50), (5, 300, 50), (40, 300, 50), (40, 90, 400), (40, 5000, 30)])
+def test_clock_of_one_hot_market(spark, slices, target, ttl):
+    from tapeworks.operators.bars import hybrid_clock_buckets
+    rnd, rows, ts = random.Random(slices + ttl), [], 0
+    for i in range(900):
+        ts += rnd.choice([0, 1, 1, 2, 5, 60 if i % 50 == 0 else 1])
+        rows.append(("B" if i % 11 == 0 else "A", ts, i, rnd.randint(1, 40), rnd.randint(-9, 9)))
+    tape = spark.createDataFrame(rows, "symbol string, ts_us long, trade_id long, notional long, ofi long")
+    got = {tuple(r) for r in hybrid_clock_buckets(tape, target, ttl, n=slices).select("symbol", "ts_us", "trade_id", "volume", "ofi", "ticks", "trigger").collect()}
+    state, want = {}, set()
+    for sym, t, i, usd, flow in rows:
+        volume, total, count, since = state.get(sym, (0, 0, 0, t))
+        volume, total, count = volume + usd, total + flow, count + 1
+        full, late = volume >= target, t - since >= ttl
+        if full or late and volume * 10 >= target * 8:
+            want.add((sym, t, i, volume, total, count, "VOLUME_TARGET" if full else "TTL_EXPIRY"))
+        state[sym] = (0, 0, 0, t) if full or late else (volume, total, count, since)
+    assert got == want and (want or target == 5000)
