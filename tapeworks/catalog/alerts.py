@@ -5,10 +5,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tapeworks.catalog import query
-from tapeworks.catalog.bars import reset
-from tapeworks.catalog.detectors import BANK_SQL, HOUR, bank, greedy_sql
-from tapeworks.catalog.vpin import SIGNAL_SQL, signals
-from tapeworks.operators import alerts
+from tapeworks.catalog.bars import THRESHOLD, reset
+from tapeworks.catalog.detectors import BANK_SQL, HOUR, LARGE, OFI, SWEEP, bank, greedy_sql
+from tapeworks.catalog.vpin import SIGNAL_SQL, ZT, N, Z, signals
+from tapeworks.operators import alerts, bars, vpin
+from tapeworks.operators import detectors as det
 from tapeworks.session import ensure_checkpoint_dir
 from tapeworks.sources import tape as src
 
@@ -50,15 +51,26 @@ def _(spark, sf):
     return alerts.outbox(spark, path, rows.schema).drop("payload")
 
 
-@query("radar_metrics", BANK_SQL.replace("bank AS (", "bank AS (").rstrip() + SIGNAL_SQL[SIGNAL_SQL.index(",\nwalk AS ("):].replace("walk", "barwalk") +
+METRICS_SQL = (BANK_SQL.replace("bank AS (", "bank AS (").rstrip() + SIGNAL_SQL[SIGNAL_SQL.index(",\nwalk AS ("):].replace("walk", "barwalk") +
        f""", hot AS (SELECT symbol, bar_idx, end_us FROM signals WHERE is_anomaly), {greedy_sql('radar', 'hot', COOL, ts='end_us', tie='bar_idx')}
 SELECT (SELECT count(*) FROM tape) AS tick_count, (SELECT max(ts_us) FROM tape) AS last_tick_us, (SELECT count(*) FROM bars) AS bar_count,
   (SELECT count(DISTINCT symbol) FROM bars) AS symbols_tracked, (SELECT count(*) FROM signals) AS signal_count,
   (SELECT count(*) FROM radar) AS alert_count, (SELECT count(*) FROM bank) AS liquidity_alert_count""")
+
+
+@query("radar_metrics", METRICS_SQL)
 def _(spark, sf):
     return alerts.radar_metrics(src.tape(spark, sf), reset(spark, sf), signals(spark, sf), radar(spark, sf), bank(spark, sf))
 
 
+@query("pipeline_metrics", METRICS_SQL)
+def _(spark, sf):
+    return alerts.pipeline_metrics(
+        src.tape(spark, sf), lambda t: bars.dollar_bars(t, THRESHOLD),
+        lambda b: vpin.vpin_signals(b, window=N, base_threshold=THRESHOLD, z_threshold=ZT, z_history=Z), lambda s: alerts.radar_alerts(s, COOL),
+        lambda t: det.liquidity_bank(det.sweep(t, **SWEEP), det.large_print(t, t.groupBy("symbol").agg(F.sum("notional").alias("turnover")), **LARGE), det.ofi_pulse(t, **OFI)))
+
+
 # Orders stand in for outbox rows: status P is pending, the priority text starts with its rank.
 OUTBOX_SQL = """outbox AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'O' THEN 'PROCESSING' ELSE 'SENT' END AS status,
   epoch_us(o_orderdate) AS created_us, epoch_us(o_orderdate) + (o_custkey % 10) * 86400000000 AS execute_after_us,

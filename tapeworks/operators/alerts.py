@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.operators.detectors import greedy_cooldown
+from tapeworks.session import ensure_checkpoint_dir
 
 
 def radar_alerts(signals: DataFrame, cooldown_us: int, *, n: int | None = None) -> DataFrame:
@@ -112,3 +115,26 @@ def radar_metrics(tape: DataFrame, bars: DataFrame, signals: DataFrame, alerts:
         r = p.select(*[(F.col(c) if c in p.columns else F.lit(None)).cast("long").alias(c) for c in names])
         rows = r if rows is None else rows.unionByName(r)
     return rows.agg(*[F.max(c).alias(c) for c in names])
+
+
+def counted(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
+    """``df`` written once and read again, with metrics observed on the pass that writes it."""
+    spark = df.sparkSession
+    seen, path = Observation(name), f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
+
+
+def pipeline_metrics(tape: DataFrame, make_bars, make_signals, make_alerts, make_liquidity) -> DataFrame:
+    """Counters of a radar run in one row, each observed where the run writes a table anyway.
+
+    The functions make one table from another: bars from ticks, signals from bars, alerts from
+    signals, liquidity alerts from ticks.  Every table is planned and run once.
+    """
+    ticks, tick = counted(tape, "ticks", last=F.max("ts_us"))
+    bars, bar = counted(make_bars(ticks), "bars", symbols=F.size(F.collect_set("symbol")))  # the markets, not their bars
+    signals, signal = counted(make_signals(bars), "signals")
+    _, alert = counted(make_alerts(signals), "alerts")
+    _, liquid = counted(make_liquidity(ticks), "liquidity")
+    row = (tick["rows"], tick["last"], bar["rows"], bar["symbols"], signal["rows"], alert["rows"], liquid["rows"])
+    return tape.sparkSession.createDataFrame([row], "tick_count bigint, last_tick_us bigint, bar_count bigint, symbols_tracked bigint, signal_count bigint, alert_count bigint, liquidity_alert_count bigint")

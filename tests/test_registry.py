@@ -13,7 +13,7 @@ from tapeworks import catalog
 catalog.load()
 CORE = ("dollar_bars", "split_bars", "split_bars_scaled", "hybrid_clock_buckets", "resync", "vpin_zscore", "vpin_time_decay", "absorption", "sweep", "large_print",
         "ofi_pulse", "radar_alerts", "parse_trades", "parse_book", "markout", "exit_rules", "macro_regime", "leader_shock", "triple_barrier", "purged_kfold",
-        "book_validity", "book_at", "position_ledger", "sector_heat", "spoof_trust", "maker_fill_audit", "alert_sink", "position_arbitration", "click_audit", "rtt_p99", "ema_fold", "quarantine_stash", "stream_radar", "state_seed")
+        "book_validity", "book_at", "position_ledger", "sector_heat", "spoof_trust", "maker_fill_audit", "alert_sink", "pipeline_metrics", "position_arbitration", "click_audit", "rtt_p99", "ema_fold", "quarantine_stash", "stream_radar", "state_seed")
 NAMES = sorted(catalog.ORACLES) if os.environ.get("ALL_QUERIES") else CORE
 
 
