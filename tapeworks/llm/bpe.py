@@ -16,8 +16,8 @@ Words repeat, so a worker remembers the encoding of the pieces it has seen, up t
 
 Defined cases: a null text is the empty text and has no tokens; texts of any length are
 encoded whole; special tokens written in a text become their own id, as the tokenizers
-library does by default; other columns pass through unless they have the output's name, in
-which case they are replaced.
+library does by default; repeated rows stay rows and an empty table gives no rows; other columns
+pass through unless they have the output's name, in which case they are replaced.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ prefix and then among the rows of one prefix, so no source is ever sorted as a w
 
 Defined cases: a null text has no words; null sources form one source, last in order; rows
 equal in id and text share their digest and are taken together; sources without words have
-target 0; an empty table gives an empty plan.  All columns pass through ``mixed``.
+target 0; a text of any length is taken whole or not; an empty table gives an empty plan.  All columns pass through ``mixed``.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ Defined cases: texts without words have an empty set and are linked with nothing
 fewer words than a shingle are one shingle; A-Z are lower-cased, words are runs of other
 characters than blanks; rows that share an id are one node, linked if any of them is; rows
 without an id are nodes named by their texts, after all ids (ids are below 2^62), and a group of
-only such rows has no component id; empty tables give empty results; other columns pass through
+only such rows has no component id; texts of any length are read whole; empty tables give empty results; other columns pass through
 ``survivors`` and are not read.
 """
 

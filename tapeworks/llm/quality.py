@@ -10,7 +10,8 @@ The scorer is fitted on a bounded sample (``SAMPLE_ROWS``, by a hash of id and t
 EM and scoring cover all rows and whole texts.  No given label is ever read.
 
 Defined cases: null and empty texts have no words and score by the bias alone; an empty
-table leaves the scorer at its prior, which accepts; repeated rows score alike; other columns
+table leaves the scorer at its prior, which accepts; texts of any length are read whole; repeated
+rows score alike, and a score on the cut is accepted; other columns
 pass through unless they have the results' names.
 """
 

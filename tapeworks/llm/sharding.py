@@ -10,7 +10,7 @@ Law: ``bytes``, the shards' sizes are near equal (apart by at most about one slo
 Defined cases: a null text has size 1 and the checksum of the empty text; null ids are
 hashed like any value; rows equal in id, size and checksum are counted before they are
 shuffled and numbered, and each number is hashed for itself, so copies of one row spread
-over all slots.  Empty tables give empty results.  Only the named columns are read.
+over all slots.  Texts of any length are one row, counted by their bytes.  Empty tables give empty results.  Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ buckets and bins.  Labels serve learning only, and only rows of the training fol
 
 Defined cases: null and empty texts have no segments and the score of no evidence; rows
 without a label, or with a null one, teach nothing; several labels of one id count as toxic if
-one says so; without toxic training rows every score is 0.0 up to the prior share; columns
+one says so; without toxic training rows every score is 0.0 up to the prior share; texts of any length are
+scanned whole, in time proportional to it; an empty table gives no rows; columns
 with the results' names are replaced, others pass through.
 """
 

@@ -14,7 +14,8 @@ The number of rules is bounded by the support (a share of the transactions), not
 
 Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path: from there up
 to ``?``, ``#`` or the end.  Defined cases: null urls and urls without ``://`` have an empty
-host and path and are judged by default; other columns pass through unless their names are
+host and path and are judged by default; urls of any length are read whole, and a null
+``page_id`` is a row like others; other columns pass through unless their names are
 those of the results; an empty table gives an empty result; without decided urls nothing is
 mined and the default holds.
 """
