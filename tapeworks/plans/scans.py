@@ -4,8 +4,8 @@ A step ``x -> min(hi, max(lo, factor * x + offset))`` with ``factor >= 0`` takes
 two such steps one after the other are again one.  So averages, decays, counters that stop at a
 bound and capped scores need no state machine: a slice's rows compose to one map, the maps of all
 slices give every slice's entry value, and a second pass gives the values.  That is two passes
-whatever the tape, a hot key included.  Inside a batch the prefixes of all rows are composed at
-once, in as many numpy steps as the number of rows has binary digits; no row is looped over.
+whatever the tape, a hot key included.  Inside a batch the rows are cut into blocks whose maps are
+composed by doubling, and all blocks then advance together; no row is looped over by itself.
 
 The driver holds one map of four numbers a slice and output.
 """
@@ -25,6 +25,9 @@ from tapeworks.plans.folds import json_value
 from tapeworks.plans.slices import SLICE, slice_rows
 
 
+BLOCK = 128
+
+
 @dataclass(frozen=True)
 class Step:
     """Columns of a step; without bounds it is linear.  ``start`` is the value before a key's first row; ``exclusive`` gives the value before each row."""
@@ -54,7 +57,7 @@ def applied(maps: np.ndarray, x) -> np.ndarray:
 
 
 def prefixes(maps: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Composition of every row with all rows of its run before it; ``place`` counts rows from the start of the run."""
+    """Composition of every map with all of its run before it; ``place`` counts from the start of the run."""
     step = 1
     while step <= place.max(initial=0):
         rows = np.flatnonzero(place >= step)
@@ -63,6 +66,32 @@ def prefixes(maps: np.ndarray, place: np.ndarray) -> np.ndarray:
     return maps
 
 
+def _blocks(maps: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the blocks of all runs, and each block's map with those of its run before it."""
+    starts = np.flatnonzero(place % BLOCK == 0)
+    sizes = np.diff([*starts, len(place)])
+    whole = maps[:, starts]
+    for k in range(1, sizes.max(initial=0)):
+        rows = np.flatnonzero(sizes > k)
+        whole[:, rows] = compose(whole[:, rows], maps[:, starts[rows] + k])
+    return starts, sizes, prefixes(whole, place[starts] // BLOCK)
+
+
+def values_of(maps: np.ndarray, place: np.ndarray, enters: np.ndarray) -> np.ndarray:
+    """The value after every row, given the one that its run is entered with.
+
+    Blocks of all runs advance together, a row each at a time, in the order in which the
+    recurrence is written; only the value that a block is entered with is composed.
+    """
+    starts, sizes, upto = _blocks(maps, place)
+    x = np.where(place[starts] == 0, enters[starts], applied(np.roll(upto, 1, axis=1), enters[starts]))
+    out = np.empty(len(place))
+    for k in range(sizes.max(initial=0)):
+        rows = np.flatnonzero(sizes > k)
+        x[rows] = out[starts[rows] + k] = applied(maps[:, starts[rows] + k], x[rows])
+    return out
+
+
 def _maps(pdf: pd.DataFrame, step: Step) -> np.ndarray:
     n = len(pdf)
     side = lambda c, none: np.full(n, none) if c is None else pdf[c].to_numpy(float)
@@ -101,7 +130,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
             go_on = len(runs) == 1 and last == _key(pdf, keys, 0)
             last = _key(pdf, keys, runs[-1])
             tail = pdf.iloc[runs[-1]:]
-            new = [prefixes(_maps(tail, s), np.arange(len(tail)))[:, -1:] for s in steps.values()]
+            new = [_blocks(_maps(tail, s), np.arange(len(tail)))[2][:, -1:] for s in steps.values()]
             held = [compose(a, b) for a, b in zip(held, new, strict=True)] if go_on else new
         if at is not None:
             yield pd.DataFrame({"slice": [at], "first_key": [first], "last_key": [last], **{f"m{i}_{k}": [float(m[k, 0])] for i, m in enumerate(held) for k in range(4)}})
@@ -132,7 +161,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
             out, ends = {}, []
             for i, (name, s) in enumerate(steps.items()):
                 enters = np.where(in_first, values[i], starts[i])
-                x = applied(prefixes(_maps(pdf, s), place), enters)
+                x = values_of(_maps(pdf, s), place, enters)
                 ends.append(x[-1])
                 out[name] = np.where(place == 0, enters, np.concatenate([[0.0], x[:-1]])) if s.exclusive else x
             values, last = np.array(ends), _key(pdf, keys, runs[-1])

@@ -12,11 +12,13 @@ from tapeworks.operators.detectors import greedy_cooldown
 from tapeworks.plans import chains, scans
 
 
-def test_maps_compose():
+@pytest.mark.parametrize("block", [1, 7, 128])
+def test_maps_compose(monkeypatch, block):
+    monkeypatch.setattr(scans, "BLOCK", block)
     rnd = np.random.default_rng(1)
     maps = np.stack([rnd.choice([0.0, 0.5, 1.0, 1.2], 400), rnd.normal(size=400), rnd.choice([-np.inf, -1.0, 0.0], 400), rnd.choice([np.inf, 0.5, 2.0], 400)])
     place = np.concatenate([np.arange(150), np.arange(1), np.arange(249)])
-    got = scans.applied(scans.prefixes(maps.copy(), place), 0.7)
+    got = scans.values_of(maps.copy(), place, np.full(400, 0.7))
     x = 0.7
     for k in range(400):
         x = 0.7 if place[k] == 0 else x
