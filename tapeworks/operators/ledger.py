@@ -21,8 +21,8 @@ def position_ledger(fills: DataFrame, order: list[str], *, n: int | None = None)
     run = running(run, ["symbol"], order, {"_m": ("min", F.col("_s"))})  # all three scans go over the same slices
     held = run.withColumn("position_qty", F.col("_s") - F.least(F.lit(0.0), F.col("_m"))).drop("_s", "_m")
     share = F.when((F.upper("side") == "BUY") & (F.col("position_qty") > 0), F.col("qty") / F.col("position_qty")).otherwise(0.0)
-    held = held.withColumn("_w", share).withColumn("_f", 1.0 - F.col("_w")).withColumn("_o", F.col("_w") * F.col("price"))
-    return affine_scan(held, ["symbol"], order, "_f", "_o", "avg_px").drop("_w", "_f", "_o", SLICE)
+    held = held.withColumn("_w", share).withColumn("_f", 1.0 - F.col("_w")).withColumn("_o", F.col("_w") * F.col("price")).drop("_w").checkpoint(eager=True)
+    return affine_scan(held, ["symbol"], order, "_f", "_o", "avg_px").drop("_f", "_o", SLICE)
 
 
 def confirmed_positions(fills: DataFrame, order: list[str]) -> DataFrame:

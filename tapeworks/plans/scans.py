@@ -135,7 +135,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], steps: Mappin
         if at is not None:
             yield pd.DataFrame({"slice": [at], "first_key": [first], "last_key": [last], **{f"m{i}_{k}": [float(m[k, 0])] for i, m in enumerate(held) for k in range(4)}})
 
-    seen = sliced.mapInPandas(survey, "slice int, first_key string, last_key string, " + ", ".join(f"m{c}" for c in whole.split(", "))).collect()  # one record a slice
+    read = dict.fromkeys([SLICE, *keys, *(c for s in steps.values() for c in (s.factor, s.offset, s.lo, s.hi) if c)])
+    seen = sliced.select(*read).mapInPandas(survey, "slice int, first_key string, last_key string, " + ", ".join(f"m{c}" for c in whole.split(", "))).collect()  # one record a slice
     entry: dict[int, np.ndarray] = {}
     values, before = starts, None
     for r in sorted(seen, key=lambda r: r.slice):
