@@ -5,8 +5,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tapeworks.catalog import query
-from tapeworks.catalog.bars import THRESHOLD, reset
-from tapeworks.catalog.detectors import BANK_SQL, HOUR, LARGE, OFI, SWEEP, bank, greedy_sql
+from tapeworks.catalog.bars import THRESHOLD
+from tapeworks.catalog.detectors import BANK_SQL, HOUR, LARGE, OFI, SWEEP, bank_of, greedy_sql
 from tapeworks.catalog.vpin import SIGNAL_SQL, ZT, N, Z, signals
 from tapeworks.operators import alerts, bars, vpin
 from tapeworks.operators import detectors as det
@@ -60,7 +60,12 @@ SELECT (SELECT count(*) FROM tape) AS tick_count, (SELECT max(ts_us) FROM tape)
 
 @query("radar_metrics", METRICS_SQL)
 def _(spark, sf):
-    return alerts.radar_metrics(src.tape(spark, sf), reset(spark, sf), signals(spark, sf), radar(spark, sf), bank(spark, sf))
+    """Ticks, bars and signals are read by several counters and steps, so each is stored once."""
+    ensure_checkpoint_dir(spark)
+    ticks = src.tape(spark, sf).checkpoint(eager=True)
+    made = bars.dollar_bars(ticks, THRESHOLD).checkpoint(eager=True)
+    found = vpin.vpin_signals(made, window=N, base_threshold=THRESHOLD, z_threshold=ZT, z_history=Z).checkpoint(eager=True)
+    return alerts.radar_metrics(ticks, made, found, alerts.radar_alerts(found, COOL), bank_of(ticks))
 
 
 @query("pipeline_metrics", METRICS_SQL)

@@ -67,9 +67,12 @@ bank AS (SELECT * FROM sweeps UNION ALL BY NAME SELECT * REPLACE (round(pct_of_t
 
 
 def bank(spark, sf, **kw):
-    t = src.tape(spark, sf)
+    return bank_of(src.tape(spark, sf), **kw)
+
+
+def bank_of(t, **kw):
     ofi = det.ofi_pulse(t, **OFI).withColumn("ratio_to_median", F.round("ratio_to_median", 6))
-    large = det.large_print(t, src.turnover(spark, sf), **LARGE).withColumn("pct_of_turnover", F.round("pct_of_turnover", 9))
+    large = det.large_print(t, t.groupBy("symbol").agg(F.sum("notional").alias("turnover")), **LARGE).withColumn("pct_of_turnover", F.round("pct_of_turnover", 9))
     return det.liquidity_bank(det.sweep(t, **SWEEP), large, ofi, **kw)
 
 
