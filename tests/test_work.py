@@ -54,3 +54,31 @@ def test_radar_takes_a_group_in_steps():
     assert sizes == [1001, 1000, 1000, 1000, 1] and state == want and len(found) > 50
     assert sorted(found) == sorted(whole.itertuples(index=False, name=None))
     assert st._packed(df)["size"].itemsize == 1 and len({id(x) for x in st._packed(df)["side"]}) == 2
+
+
+def test_orders_meet_no_events_after_they_are_traded_through(spark, monkeypatch):
+    """Every trade goes through the orders, so few steps reach the scan; fills are those of a walk over all events."""
+    rnd = random.Random(4)
+    events = [("A", 10 * k, k, rnd.choice([100, 101, 102, 103, 110 if k % 50 == 0 else 104]), rnd.randint(1, 9), 40, rnd.randint(0, 40)) for k in range(900)]
+    orders = [(k, "A" if k % 7 else "B", 100 * k, rnd.choice([99, 102, 106]), rnd.randint(1, 5), rnd.choice(["BUY", "SELL"]), rnd.randint(0, 30)) for k in range(80)]
+    orders.append(orders[11])
+    o = spark.createDataFrame(orders, "order_id long, symbol string, ts_us long, price long, qty long, side string, queue_qty long")
+    e = spark.createDataFrame(events, "symbol string, ts_us long, event_id long, trade_price long, trade_qty long, prev_qty long, cur_qty long")
+    rows, scan = [], execution.scan
+    monkeypatch.setattr(execution, "scan", lambda df, *a, **k: (rows.append(df.count()), scan(df, *a, **k))[1])
+    monkeypatch.setattr(execution, "BLOCK_EVENTS", 8, raising=False)
+    got = {r.order_id: (r.filled, r.is_filled, r.filled_us) for r in execution.maker_fill_audit(o, e, horizon_us=4000, touch=1).collect()}
+    want = {}
+    for oid, sym, placed, price, qty, side, queue in dict.fromkeys(orders):
+        copies, before, least, at = orders.count((oid, sym, placed, price, qty, side, queue)), queue + qty, queue + qty, None
+        for s, ts, _, tp, tq, prev, cur in events:
+            if s != sym or not placed < ts <= placed + 4000 or at is not None:
+                continue
+            through = abs(tp - price) > 1 and (tp < price if side == "BUY" else tp > price)
+            for _ in range(copies):
+                burned = max(0, tq - max(0, tq + cur - prev)) if abs(tp - price) <= 1 else 0
+                before = min(max(0, before - burned), 0 if through else max(qty, cur) if cur > 0 else before)
+            least, at = min(least, before), ts if before <= 0 else None
+        want[oid] = (qty - min(least, qty), at is not None, at)
+    assert got == want
+    assert rows[0] < 3000  # 19,379 with every trade through that follows
