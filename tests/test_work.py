@@ -82,3 +82,13 @@ def test_orders_meet_no_events_after_they_are_traded_through(spark, monkeypatch)
         want[oid] = (qty - min(least, qty), at is not None, at)
     assert got == want
     assert rows[0] < 3000  # 19,379 with every trade through that follows
+
+
+def test_exit_rules_number_signals_with_the_snapshots(spark, events, monkeypatch):
+    """Signals are placed in the one pass that numbers the snapshots, not by joins that move both sides again."""
+    def moved(*_, **__):
+        raise AssertionError("as-of join")
+    catalog.load()
+    monkeypatch.setattr(execution, "asof", moved)
+    got = catalog.QUERIES["exit_rules"](spark, events).collect()
+    assert len(got) > 100 and {r.reason for r in got} >= {"WALL_COLLAPSE", "TIME_DECAY"}
