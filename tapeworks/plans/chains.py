@@ -40,8 +40,9 @@ _MAP = "lo bigint, hi bigint, exit bigint, shift boolean, closed bigint"
 def exit_map(amount: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
     """Pieces [lo, hi) of the entry value with the exit value and the number of closes.
 
-    Where nothing closes the exit is the entry plus ``exit`` (``shift``).  Thresholds
-    may change along the rows; each change costs one more search over open chains.
+    Where nothing closes the exit is the entry plus ``exit`` (``shift``).  Thresholds may
+    change with every row: the next close after a close at i is the first row whose need has
+    fallen to the total's negative at i, and that falls along i, so one sorted search finds all.
     """
     total = np.cumsum(amount)
     n = len(total)
@@ -49,17 +50,15 @@ def exit_map(amount: np.ndarray, threshold: np.ndarray) -> pd.DataFrame:
     least = np.minimum.accumulate(need)
     before = np.concatenate([[ENDLESS], least[:-1]])
     first = np.flatnonzero((need < before) & (before > 0))  # the tick that closes first for some entry value
-    after = np.arange(n)
-    cuts = [0, *(np.flatnonzero(np.diff(threshold)) + 1), n]
-    waiting = np.arange(n)
-    # the next close after a close at i: the first later tick whose total has grown by its threshold
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        asking = waiting[waiting < hi - 1]
-        hit = np.maximum(lo + np.searchsorted(total[lo:hi], total[asking] + threshold[lo], side="left"), np.maximum(asking + 1, lo))
-        found = hit < hi
-        after[asking[found]] = hit[found]
-        waiting = np.concatenate([asking[~found], waiting[waiting >= hi - 1]])
-    closes = (after > np.arange(n)).astype(np.int64)
+    rows = np.arange(n)
+    # a row's need cannot be met by the totals up to it, unless its threshold asks for nothing: such a row always closes
+    always = np.flatnonzero(threshold <= 0)
+    lowest = np.minimum.accumulate(np.where(threshold > 0, need, ENDLESS)) if len(always) else least
+    after = np.maximum(np.searchsorted(-lowest, total, side="left"), rows + 1)
+    if len(always):
+        after = np.minimum(after, np.append(always, n)[np.searchsorted(always, rows, side="right")])
+    after = np.where(after < n, after, rows)
+    closes = (after > rows).astype(np.int64)
     while closes[after].any():
         closes, after = closes + closes[after], after[after]
     lo, hi = np.maximum(need[first], 0), before[first]

@@ -37,6 +37,22 @@ def test_map_and_composition(changes):
             assert (out[0], n[0]) == (at, closed)
 
 
+@pytest.mark.parametrize("lowest", [0, 20])
+def test_threshold_of_every_row(monkeypatch, lowest):
+    """A threshold that changes with every row costs no more searches over the slice than one that stays."""
+    rnd = np.random.default_rng(lowest)
+    amount, changing = rnd.integers(0, 30, 4000), rnd.integers(lowest, 120, 4000)
+    asked = []
+    search = np.searchsorted
+    with monkeypatch.context() as m:
+        m.setattr(chains.np, "searchsorted", lambda *a, **kw: asked.append(1) or search(*a, **kw))
+        made = chains.exit_map(amount, changing)
+    assert len(asked) <= 2
+    for v in range(0, 200, 7):
+        out, n = chains.look_up(made, np.array([v]))
+        assert (out[0], n[0]) == run(amount, changing, v)
+
+
 @pytest.mark.parametrize("slices", [5, 40])
 def test_hot_symbol(spark, monkeypatch, slices):
     """2,000 ticks a bar on one symbol: the jobs do not grow with the slices beyond a level of the tree."""
